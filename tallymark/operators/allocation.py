@@ -42,7 +42,7 @@ def fifo_overlap(demand: DataFrame, supply: DataFrame, key: str, demand_id: str,
     swept = running_last(slice_ordered(events, [key], order), [key], order, {
         "demand": F.when(F.col("kind") == 0, span), "supply": F.when(F.col("kind") == 1, span)})
     taken = F.least(F.col("demand.end"), F.col("supply.end")) - F.col("at")
-    return swept.withColumn("taken", taken.cast(CENTS)).where("taken > 0").select(
+    return swept.where("demand is not null and supply is not null").withColumn("taken", taken.cast(CENTS)).where("taken > 0").select(
         key, F.col("demand.id").alias(demand_id), F.col("supply.id").alias(supply_id), "taken")
 
 
@@ -60,6 +60,9 @@ def resolve_reversals(payments: DataFrame) -> DataFrame:
     negative = payments.where("amount < 0").select(
         F.col("payment_id").alias("reversal_id"), "payee", F.col("reference").alias("own_reference"),
         (-F.col("amount")).alias("size"), F.col("payment_date").alias("reversal_date"), "reversal_of")
+    if negative.isEmpty():
+        return negative.select("reversal_id", F.lit(None).cast("string").alias("target_id"), F.lit(None).cast("string").alias("reason"),
+                               "payee", F.col("own_reference").alias("reference"), "reversal_date", "reversal_of")
     named = negative.where("reversal_of is not null").join(
         positive.select(F.col("payment_id").alias("reversal_of"), "payee", "size", "reference", F.col("payment_date").alias("target_date")),
         ["reversal_of", "payee", "size"], "left")
