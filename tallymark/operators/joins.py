@@ -90,37 +90,40 @@ def explicit_reversals(payments: DataFrame) -> DataFrame:
 def substring_pairs(texts: DataFrame, text: str, text_id: str, subjects: DataFrame, subject: str) -> DataFrame:
     """Exact pairs (text id, subject) where the subject occurs anywhere in the text.
 
-    A substring test is no equi join, so it is turned into one: a subject of several words is
-    looked up by its longest inner word, which must occur in the text as a whole word; any other
-    subject is looked up by the text's own substrings of its length. Hits are then verified.
+    A substring test is no equi join, so it is turned into one over the texts' space-separated
+    tokens. A subject with an inner word is looked up by it: that word has a space on both sides, so
+    it must be a whole token. Any other subject is looked up by its longest part, which must lie
+    inside one token; those parts are matched once against the distinct tokens of all texts, by the
+    tokens' own substrings of the parts' lengths. Subjects that hold a space are verified at the end.
     """
     keyed = subjects.select(F.col(subject).alias("_subject")).where(F.length(subject) > 0).distinct()
-    keyed = keyed.withColumn("_key", _longest_inner_word(F.col("_subject")))
-    tokens = texts.select(
-        F.col(text_id), F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("_key"))
-    by_word = tokens.join(keyed.where("_key is not null"), "_key").select(text_id, "_subject")
-    verified = (
-        texts.select(text_id, text).join(by_word.distinct(), text_id)
-        .where(F.contains(F.col(text), F.col("_subject"))).select(text_id, F.col("_subject").alias(subject))
-    )
-    plain = keyed.where("_key is null").select("_subject", F.least(F.length("_subject"), F.lit(48)).alias("_len"))
-    lengths = [r["_len"] for r in plain.select("_len").distinct().collect()]  # at most 48 numbers
-    if not lengths:
-        return verified
-    grams = F.flatten(F.transform(
-        F.array(*[F.lit(n) for n in sorted(lengths)]),
-        lambda n: F.transform(
-            F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.substring(F.col(text), i, n))))
-    pieces = texts.select(text_id, F.explode(F.array_distinct(grams)).alias("_key"))
-    by_gram = pieces.join(plain.withColumn("_key", F.left(F.col("_subject"), F.col("_len"))), "_key")
-    exact = by_gram.where("length(_subject) <= 48").select(text_id, F.col("_subject").alias(subject))
-    long_ones = (
-        by_gram.where("length(_subject) > 48").select(text_id, "_subject").distinct()
-        .join(texts.select(text_id, text), text_id).where(F.contains(F.col(text), F.col("_subject")))
-        .select(text_id, F.col("_subject").alias(subject))
-    )
-    return verified.unionByName(exact.distinct()).unionByName(long_ones)
+    keyed = keyed.withColumn("_word", _longest_inner_word(F.col("_subject")))
+    tokens = texts.select(F.col(text_id), F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("_token"))
+    found = tokens.join(keyed.where("_word is not null").select(F.col("_word").alias("_token"), "_subject"), "_token").select(text_id, "_subject")
+
+    parts = keyed.where("_word is null").select("_subject", _longest_part(F.col("_subject")).alias("_part")).where(F.length("_part") > 0)
+    parts = parts.withColumn("_len", F.least(F.length("_part"), F.lit(_GRAM)))
+    lengths = sorted(r["_len"] for r in parts.select("_len").distinct().collect())  # at most _GRAM numbers
+    if lengths:
+        token = F.col("_token")
+        cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(token) - n + 1), lambda i: F.substring(token, i, F.lit(n)))
+        grams = F.flatten(F.array(*[F.when(F.length(token) >= n, cut(n)).otherwise(F.array().cast("array<string>")) for n in lengths]))
+        vocabulary = tokens.select("_token").distinct()
+        pieces = vocabulary.select("_token", F.explode(F.array_distinct(grams)).alias("_gram"))
+        within = pieces.join(parts.withColumn("_gram", F.left("_part", F.col("_len"))), "_gram").where(F.contains(token, F.col("_part")))
+        found = found.unionByName(tokens.join(within.select("_token", "_subject"), "_token").select(text_id, "_subject"))
+    found = found.distinct()
+    spaced = F.contains(F.col("_subject"), F.lit(" "))
+    verified = texts.select(text_id, text).join(found.where(spaced), text_id).where(F.contains(F.col(text), F.col("_subject")))
+    return found.where(~spaced).unionByName(verified.select(text_id, "_subject")).withColumnRenamed("_subject", subject)
+
+
+_GRAM = 48
+
+
+def _longest_part(subject: Column) -> Column:
+    """Longest space-separated part of the subject."""
+    return F.array_max(F.transform(F.split(subject, " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
 
 
 def _longest_inner_word(subject: Column) -> Column:

@@ -101,7 +101,9 @@ def _match_frames(t):
 
 
 @query("join_11_receipt_candidates", """WITH d AS (SELECT l_orderkey, l_returnflag, max(CAST(l_shipdate AS DATE)) AS day, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS net FROM lineitem GROUP BY 1, 2)
-    SELECT 'I' || o_orderkey AS consumer, 'G' || l_orderkey || '-' || l_returnflag AS resource, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 2 END AS tier FROM orders JOIN d ON l_orderkey = o_orderkey WHERE l_returnflag IN ('A', 'N')""")
+    SELECT 'I' || o_orderkey AS consumer, 'G' || l_orderkey || '-' || l_returnflag AS resource, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 2 END AS tier FROM orders JOIN d ON l_orderkey = o_orderkey WHERE l_returnflag IN ('A', 'N')
+    UNION ALL SELECT 'I' || i.o_orderkey, 'F' || f.o_orderkey, 4 FROM orders i JOIN orders f ON i.o_custkey = f.o_custkey AND f.o_orderkey % 15 = 0 AND abs(date_diff('day', i.o_orderdate, f.o_orderdate)) <= 7
+    AND abs(CAST(i.o_totalprice AS DECIMAL(18,2)) - CAST(f.o_totalprice AS DECIMAL(18,2))) <= 0.01""")
 def _(t):
     from tallymark.plans.purchase_match import MatchParameters, ThreeWayMatch
     frames = _match_frames(t)
