@@ -58,10 +58,15 @@ def canonical_header_column(name: Column) -> Column:
 
 
 def normalize_identifier(value: Column, uppercase: bool = True) -> Column:
-    """Compatibility form, single spaces, optional upper case; blank gives NULL."""
-    collapsed = F.regexp_replace(strip(compatibility_form(value.cast("string"))), r"(?U)\s+", " ")
-    cased = F.upper(collapsed) if uppercase else collapsed
-    return F.when(cased != "", cased)
+    """Compatibility form, single spaces, optional upper case; blank gives NULL.
+
+    Identifiers that are already normal, which is the common case, pass after one short test.
+    """
+    text = value.cast("string")
+    collapsed = F.regexp_replace(strip(compatibility_form(text)), r"(?U)\s+", " ")
+    cased = F.nullif(F.upper(collapsed) if uppercase else collapsed, F.lit(""))
+    normal = r"^[!-`{-~]+$" if uppercase else r"^[!-~]+$"
+    return F.when(text.rlike(normal), text).otherwise(cased)
 
 
 def fold(text: Column) -> Column:

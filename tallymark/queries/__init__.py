@@ -37,5 +37,5 @@ registry = Registry()
 
 def load() -> Registry:
     """Import every query module once; each registers itself."""
-    from tallymark.queries import aggregates, controls, filters, functions, graph, joins, records, tools  # noqa: F401
+    from tallymark.queries import aggregates, controls, filters, functions, graph, joins, records, sources, tools  # noqa: F401
     return registry

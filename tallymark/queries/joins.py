@@ -94,10 +94,11 @@ def _(t):
     return back.join(out, key).where("l_shipdate <= returned_on").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-def _match_frames(t):
-    from tallymark.queries.records import match_tables
+def _match_frames(t, *names):
     from tallymark.plans.purchase_match import ThreeWayMatch
-    return ThreeWayMatch().prepare(match_tables(t), False)
+    from tallymark.queries.records import match_tables
+    tables = match_tables(t)
+    return ThreeWayMatch().prepare({n: tables[n] for n in names}, False)
 
 
 @query("join_11_receipt_candidates", """WITH d AS (SELECT l_orderkey, l_returnflag, max(CAST(l_shipdate AS DATE)) AS day, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS net FROM lineitem GROUP BY 1, 2)
@@ -106,7 +107,7 @@ def _match_frames(t):
     AND abs(CAST(i.o_totalprice AS DECIMAL(18,2)) - CAST(f.o_totalprice AS DECIMAL(18,2))) <= 0.01""")
 def _(t):
     from tallymark.plans.purchase_match import MatchParameters, ThreeWayMatch
-    frames = _match_frames(t)
+    frames = _match_frames(t, "invoices", "receipts")
     return ThreeWayMatch().receipt_edges(frames["invoices"], frames["receipts"], MatchParameters())[0]
 
 
@@ -119,21 +120,21 @@ def _(t):
 @query("join_13_linked_orders", "SELECT 'I' || o_orderkey AS consumer, 'P' || o_orderkey AS resource FROM orders")
 def _(t):
     from tallymark.plans.purchase_match import linked
-    frames = _match_frames(t)
+    frames = _match_frames(t, "invoices", "orders")
     return linked(frames["invoices"], frames["orders"].where("not cancelled"), [("invoice_reference", "invoice_reference"), ("purchase_order_reference", "order_reference")])
 
 
 @query("join_14_linked_adjustments", "SELECT 'I' || o_orderkey AS consumer, 'A' || o_orderkey AS resource FROM orders WHERE o_orderkey % 20 = 0")
 def _(t):
     from tallymark.plans.purchase_match import linked
-    frames = _match_frames(t)
+    frames = _match_frames(t, "invoices", "adjustments")
     return linked(frames["invoices"], frames["adjustments"], [("invoice_reference", "invoice_reference"), ("purchase_order_reference", "purchase_order_reference"), ("goods_receipt_reference", "goods_receipt_reference")])
 
 
 @query("join_15_refused_receipts", "SELECT DISTINCT 'I' || l_orderkey AS consumer, 'G' || l_orderkey || '-R' AS resource FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM orders)")
 def _(t):
     from tallymark.plans.purchase_match import linked
-    frames = _match_frames(t)
+    frames = _match_frames(t, "invoices", "receipts")
     return linked(frames["invoices"], frames["receipts"].where("status <> 'accepted'"), [
         ("invoice_reference", "invoice_reference"), ("goods_receipt_reference", "receipt_reference"), ("purchase_order_reference", "purchase_order_reference")])
 

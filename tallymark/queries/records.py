@@ -331,6 +331,11 @@ def match_tables(t):
     }
 
 
+def _frames(t, *names):
+    tables = match_tables(t)
+    return ThreeWayMatch().prepare({n: tables[n] for n in names}, False)
+
+
 @query("ctl_10_three_way_match")
 def _(t):
     out = ThreeWayMatch().evaluate(match_tables(t))
@@ -341,7 +346,7 @@ def _(t):
 def _(t):
     from tallymark.plans.purchase_match import MatchParameters
     control, p = ThreeWayMatch(), MatchParameters()
-    frames = control.prepare(match_tables(t), False)
+    frames = _frames(t, "invoices", "receipts")
     invoices = frames["invoices"].withColumns({f"target_{d}": F.col(f"{d}_amount") for d in ("net", "vat", "gross")})
     used = control.match_receipts(invoices, frames["receipts"], p).where("used")
     return used.select("consumer", "resource", "tier", *[F.col(f"take_{d}").cast(CENTS).alias(f"take_{d}") for d in ("net", "vat", "gross")])
@@ -363,7 +368,7 @@ def _(t):
 @query("alloc_05_order_coverage", """SELECT 'I' || o_orderkey AS consumer, CAST(CASE WHEN o_orderkey % 7 = 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.95 AS DECIMAL(18,2)) ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS DECIMAL(18,2)) AS covered FROM orders""")
 def _(t):
     control = ThreeWayMatch()
-    frames = control.prepare(match_tables(t), False)
+    frames = _frames(t, "invoices", "orders")
     invoices = frames["invoices"].withColumns({f"target_{d}": F.col(f"{d}_amount") for d in ("net", "vat", "gross")})
     return control.cover_orders(invoices, frames["orders"]).where("used").select("consumer", F.col("take_net").cast(CENTS).alias("covered"))
 
@@ -373,14 +378,18 @@ def _(t):
 def _(t):
     from tallymark.plans.purchase_match import MatchParameters
     control = ThreeWayMatch()
-    frames = control.prepare(match_tables(t), False)
+    frames = _frames(t, "invoices", "adjustments")
     return control.credits(frames["invoices"], frames["adjustments"], MatchParameters()).select("consumer", "target_net", "is_cancelled")
 
 
 @query("alloc_07_unmatched_receipts")
 def _(t):
-    out = ThreeWayMatch().evaluate(match_tables(t)).where("finding = 'unmatched_receipt'")
-    return out.select("subject", "exposure")
+    from tallymark.plans.purchase_match import MatchParameters
+    control, p = ThreeWayMatch(), MatchParameters()
+    frames = _frames(t, "invoices", "receipts")
+    invoices = frames["invoices"].withColumns({f"target_{d}": F.col(f"{d}_amount") for d in ("net", "vat", "gross")})
+    matched = control.match_receipts(invoices, frames["receipts"], p)
+    return control.unmatched_receipts(frames["receipts"], matched, p).select("subject", "exposure")
 
 
 @query("win_01_duplicate_invoices", """SELECT l_orderkey, l_linenumber, max(l_extendedprice)::DECIMAL(18,2) AS last_price, count(*) - 1 AS repeats FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")

@@ -26,7 +26,7 @@ def numbered_lines(spark: SparkSession, paths: str | Sequence[str], root: str, e
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
     # The reader keeps raw bytes, so other single-byte encodings are decoded afterwards.
     line = F.col("value") if encoding.upper().startswith("UTF-8") else F.decode(F.col("value").cast("binary"), encoding)
-    lines = raw.withColumn("line", F.regexp_replace(line, "^﻿", "")).drop("value")
+    lines = raw.withColumn("line", F.regexp_replace(line, "^\\uFEFF", "")).drop("value")
     if drop_blank is not None:
         lines = lines.where(F.regexp_replace("line", f'[\\s"{drop_blank}]', "") != "")
     counts = lines.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"))
@@ -44,11 +44,10 @@ def _parsed(lines: DataFrame, columns: Sequence[str], delimiter: str) -> DataFra
     return lines.withColumn("_row", F.from_csv("line", schema.simpleString()[7:-1].replace(":", " "), options))
 
 
-def read_declared(spark: SparkSession, paths: str | Sequence[str], root: str, columns: Sequence[str], delimiter: str = ";",
-                  encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of files without header under a declared column list; a line with another
-    number of fields is rejected with its text and line number."""
-    parsed = _parsed(numbered_lines(spark, paths, root, encoding).where("line <> ''"), columns, delimiter)
+def split_fields(lines: DataFrame, columns: Sequence[str], delimiter: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of (source_path, line_no, line) under a column list; a line with another number
+    of fields is rejected with its text and line number."""
+    parsed = _parsed(lines, columns, delimiter)
     bad = F.col(f"_row.{_CORRUPT}").isNotNull()
     rows = parsed.where(~bad).select(
         "source_path", F.col("line_no").alias("row"), F.col("line").alias("raw_row"), raw_hash(F.col("line")).alias("raw_row_sha256"),
@@ -56,6 +55,18 @@ def read_declared(spark: SparkSession, paths: str | Sequence[str], root: str, co
     return rows, parsed.where(bad).select("source_path", F.col("line_no").alias("row"), F.col("line").alias("raw_row"))
 
 
+def read_declared(spark: SparkSession, paths: str | Sequence[str], root: str, columns: Sequence[str], delimiter: str = ";",
+                  encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of files without header under a declared column list."""
+    return split_fields(numbered_lines(spark, paths, root, encoding).where("line <> ''"), columns, delimiter)
+
+
+def pad_fields(lines: DataFrame, header: Sequence[str], delimiter: str) -> DataFrame:
+    """Rows under a header: short lines are padded with empty text, long lines cut."""
+    parsed = _parsed(lines, header, delimiter)
+    return parsed.select("source_path", F.col("line_no").alias("row"), *[F.coalesce(F.col(f"_row.c{i}"), F.lit("")).alias(c) for i, c in enumerate(header)])
+
+
 def sniff_delimiter(head: str) -> str:
     sample = head[:4096]
     return ";" if sample.count(";") >= sample.count(",") else ","
@@ -71,10 +82,9 @@ def read_with_header(spark: SparkSession, path: str, root: str, encoding: str =
     if first is None:
         raise ValueError(f"empty CSV: {path}")
     header = [h.strip() for h in next(csv.reader([first], delimiter=delimiter))]
-    parsed = _parsed(lines.where("line_no > 1"), header, delimiter)
-    return parsed.select("source_path", F.col("line_no").alias("row"), *[F.coalesce(F.col(f"_row.c{i}"), F.lit("")).alias(c) for i, c in enumerate(header)])
+    return pad_fields(lines.where("line_no > 1"), header, delimiter)
 
 
 def numbered_head(spark: SparkSession, path: str, encoding: str, lines: int = 200) -> list:
     value = F.col("value") if encoding.upper().startswith("UTF-8") else F.decode(F.col("value").cast("binary"), encoding)
-    return spark.read.text(path).limit(lines).select(F.left(F.regexp_replace(value, "^﻿", ""), F.lit(4096)).alias("line")).collect()
+    return spark.read.text(path).limit(lines).select(F.left(F.regexp_replace(value, "^\\uFEFF", ""), F.lit(4096)).alias("line")).collect()
