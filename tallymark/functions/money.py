@@ -10,25 +10,27 @@ from .text import compatibility_form, strip
 CENTS = "decimal(18,2)"
 STORED = "decimal(38,9)"
 
-# locale -> (well-formed amount, grouping mark, decimal mark)
+# locale -> (well-formed amount, grouping mark, decimal mark); '~' marks an amount in brackets
 _SHAPES = {
-    "de": (r"^[+-]?(?:\d{1,3}(?:\.\d{3})+|\d*)(?:,\d+)?$", ".", ","),
-    "en": (r"^[+-]?(?:\d{1,3}(?:,\d{3})+|\d*)(?:\.\d+)?$", ",", "."),
+    "de": (r"[+-]?(?:\d{1,3}(?:\.\d{3})+|\d*)(?:,\d+)?", ".", ","),
+    "en": (r"[+-]?(?:\d{1,3}(?:,\d{3})+|\d*)(?:\.\d+)?", ",", "."),
 }
-_EXPONENT = r"^[+-]?\d+[eE][+-]?\d+$"
+_EXPONENT = r"[+-]?\d+[eE][+-]?\d+"
 
 
 def parse_decimal(value: Column, locale: str) -> Column:
-    """Amount text to DECIMAL(38,9), NULL when it is not well formed for the locale."""
+    """Amount text to DECIMAL(38,9), NULL when it is not well formed for the locale.
+
+    One chain of replacements in which every step is used once, so the expression stays small.
+    """
     shape, grouping, mark = _SHAPES[locale]
     text = strip(compatibility_form(value.cast("string")))
-    negative = text.startswith("(") & text.endswith(")") & (F.length(text) >= 2)
-    inner = F.when(negative, strip(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
-    bare = F.regexp_replace(inner, r"(?i)EUR|USD|GBP|€|\$|£| |'", "")
-    plain = F.translate(F.translate(bare, grouping, ""), mark, ".")
-    usable = (bare.rlike(shape) & bare.rlike(r"\d")) | bare.rlike(_EXPONENT)
-    number = F.when(usable, plain).try_cast(STORED)
-    return F.when(negative, -number).otherwise(number).cast(STORED)
+    marked = F.regexp_replace(text, r"^\((.*)\)$", "~$1")
+    bare = F.regexp_replace(marked, r"(?i)EUR|USD|GBP|€|\$|£| |'", "")
+    formed = F.regexp_extract(bare, rf"^(~?{shape}|~?{_EXPONENT})$", 1)
+    plain = F.translate(F.translate(formed, grouping, ""), mark, ".")
+    signed = F.regexp_replace(F.regexp_replace(plain, r"^~-", ""), r"^~\+?", "-")
+    return signed.try_cast(STORED)
 
 
 def money(value: Column) -> Column:

@@ -89,10 +89,11 @@ def matching_terms(text: Column, terms: Iterable[str]) -> Column:
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
-def any_term(text: Column, terms: Iterable[str]) -> Column:
+def any_term(text: Column, terms: Iterable[str], folded: bool = False) -> Column:
     """Does any of the terms occur as a whole word? One pattern, one pass over the text."""
     pattern = "|".join(re.escape(fold_literal(t)) for t in sorted(set(terms)))
-    return fold(F.coalesce(text, F.lit(""))).rlike(rf"(?U)(?<!\w)(?:{pattern})(?!\w)")
+    plain = F.coalesce(text, F.lit(""))
+    return (plain if folded else fold(plain)).rlike(rf"(?U)(?<!\w)(?:{pattern})(?!\w)")
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:

@@ -85,11 +85,12 @@ class CapitalExpenditure:
         t = self.prepare(tables, strict)
         additions = t["additions"]
         terms = params.triggers
-        text_of = lambda *cols: F.concat_ws(" ", *cols)
+        text_of = lambda *cols: F.lower(F.concat_ws(" ", *cols))
 
         # One bit per trigger term and one per support kind hinted at; or-ing bits has a partial form.
         def bits(text: Column) -> Column:
-            tests = [any_term(text, [term]) for term in terms] + [any_term(text, params.counter_terms[k]) for k in KINDS]
+            # descriptions were folded when they were prepared
+            tests = [any_term(text, [term], folded=True) for term in terms] + [any_term(text, params.counter_terms[k], folded=True) for k in KINDS]
             return reduce(lambda a, b: a.bitwiseOR(b), [F.when(test, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, test in enumerate(tests)])
 
         own = additions.select("addition_id", bits(text_of("description", "category")).alias("b"))
