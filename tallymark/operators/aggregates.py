@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallymark import vocabulary as V
 from tallymark.functions.money import CENTS, first_digit
 from tallymark.operators import filters
-from tallymark.operators.ordering import global_position, global_rank, top_n
+from tallymark.operators.ordering import place_descending, top_n
 
 
 def cents_sum(value: Column) -> Column:
@@ -187,34 +187,30 @@ def peer_comparison(exposures: DataFrame, id_column: str = "account", value: str
     """Rank of every subject by exposure and the exact median of its peers' positive exposures.
 
     The median of all others only ever needs the few middle values of the sorted population, so
-    those are looked up once by position and each row picks from them.
+    those are looked up once by position and each row picks from them. The rows are ordered once.
     """
-    positive = global_position(
-        global_rank(exposures.where(F.col(value) > 0), value), [F.col(value).asc(), F.col(id_column).asc()]
-    )
-    n = positive.count()
+    placed, n = place_descending(exposures, value, F.col(value) > 0)
+    # positions count from the largest; the k-th smallest positive value sits at n - 1 - k
     middle = sorted({i for i in ((n - 1) // 2 - 1, (n - 1) // 2, (n - 1) // 2 + 1, n // 2 - 1, n // 2) if 0 <= i < n})
-    at = {r["position"]: r[value] for r in positive.where(F.col("position").isin(middle)).select("position", value).collect()} if middle else {}
+    position = F.lit(n - 1) - F.col("position")
+    looked_up = placed.where(position.isin(middle)).select(position.alias("p"), value).collect() if middle else []  # at most five rows
+    at = {r["p"]: r[value] for r in looked_up}
 
-    def median_without(position: int | None) -> Decimal:
-        size = n if position is None else n - 1
+    def median_without(own: int | None) -> Decimal:
+        size = n if own is None else n - 1
         if size <= 0:
             return Decimal("0.00")
-        original = lambda i: i if position is None or i < position else i + 1
+        original = lambda i: i if own is None or i < own else i + 1
         if size % 2 == 1:
             return at[original(size // 2)]
         return (at[original(size // 2 - 1)] + at[original(size // 2)]) / 2
 
-    # Beyond the middle the answer is the same for every position on one side.
-    position = F.col("position")
-    median = F.lit(median_without(n - 1 if n else None))
-    for m in reversed(middle):
-        median = F.when(position <= m, F.lit(median_without(m))).otherwise(median)
+    # Away from the middle the answer is the same for every position on one side.
     shape = "decimal(20,3)"
-    ranked = positive.select(
-        id_column, value, F.lit(n - 1).cast("long").alias("peer_count"),
-        median.cast(shape).alias("peer_median_exposure"), F.col("rank"))
-    uncharged = exposures.where(F.col(value) <= 0).select(
-        id_column, value, F.lit(n).cast("long").alias("peer_count"),
-        F.lit(median_without(None)).cast(shape).alias("peer_median_exposure"), F.lit(n + 1).cast("long").alias("rank"))
-    return ranked.unionByName(uncharged)
+    median = F.lit(median_without(n - 1 if n else None)).cast(shape)
+    for m in reversed(middle):
+        median = F.when(position <= m, F.lit(median_without(m)).cast(shape)).otherwise(median)
+    charged = F.col(value) > 0
+    return placed.select(
+        id_column, value, F.when(charged, F.lit(n - 1)).otherwise(F.lit(n)).cast("long").alias("peer_count"),
+        F.when(charged, median).otherwise(F.lit(median_without(None)).cast(shape)).alias("peer_median_exposure"), "rank")

@@ -77,21 +77,29 @@ def running_last(sliced: DataFrame, keys: Sequence[str], order: Sequence[Column
                          *[F.coalesce(F.col(f"l.{n}"), F.col(f"o._off_{n}")).alias(n) for n in values])
 
 
-def global_rank(df: DataFrame, value: str, name: str = "rank", ascending: bool = False,
-                slices: int | None = None) -> DataFrame:
-    """SQL rank over the whole table; equal values share a slice, so ties share a rank."""
-    order = F.col(value).asc() if ascending else F.col(value).desc()
+def place_descending(df: DataFrame, value: str, counted: Column | None = None, slices: int | None = None) -> tuple[DataFrame, int]:
+    """Rows with their SQL ``rank`` and zero-based ``position``, largest first, and a count of rows.
+
+    Equal values share a slice, so ties share a rank. Only one number per slice reaches the driver.
+    """
+    order = F.col(value).desc()
     sliced = slice_ordered(df, [], [order], slices)
+    test = counted if counted is not None else F.lit(True)
+    sizes = sorted(sliced.groupBy(SLICE).agg(F.count(F.lit(1)), F.count(F.when(test, F.lit(1)))).collect())
+    before, offsets = 0, {}
+    for number, size, _ in sizes:
+        offsets[number] = before
+        before += size
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair]), F.col(SLICE)) if offsets else F.lit(0)
     inside = Window.partitionBy(SLICE).orderBy(order)
-    before = Window.partitionBy(F.lit(0)).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    counts = sliced.groupBy(SLICE).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return (
-        sliced.withColumn("_local", F.rank().over(inside))
-        .join(F.broadcast(offsets), SLICE)
-        .withColumn(name, (F.col("_local") + F.col("_before")).cast("long"))
-        .drop("_local", "_before", SLICE)
-    )
+    placed = sliced.withColumns({
+        "rank": (start + F.rank().over(inside)).cast("long"), "position": (start + F.row_number().over(inside) - 1).cast("long")})
+    return placed.drop(SLICE), sum(n for _, _, n in sizes)
+
+
+def global_rank(df: DataFrame, value: str, name: str = "rank", slices: int | None = None) -> DataFrame:
+    """SQL rank over the whole table, largest first."""
+    return place_descending(df, value, slices=slices)[0].drop("position").withColumnRenamed("rank", name)
 
 
 def global_position(df: DataFrame, order: Sequence[Column | str], name: str = "position",

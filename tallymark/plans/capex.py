@@ -15,6 +15,7 @@ from tallymark.functions.money import CENTS
 from tallymark.functions.text import any_term, fold, fold_literal, normalize_identifier
 from tallymark.operators import aggregates, checks
 from tallymark.plans.base import outcome_counter, parameter_map, review_reasons
+from tallymark.session import materialize
 
 KINDS = tuple(V.SUPPORT_TERMS)
 JUDGEMENT = "capitalization classification requires accounting judgement; description matching alone is not proof of misstatement"
@@ -78,7 +79,8 @@ class CapitalExpenditure:
             if strict:
                 checks.require_none(checks.conflicting_records(df, key, [*key, *content]), f"conflicting duplicate in {name}")
             ready[name] = collapse_business_records(df, key, content)
-        return ready
+        # Additions and postings are read by several joins below, so they are collapsed once.
+        return {**ready, "additions": materialize(ready["additions"]), "postings": materialize(ready["postings"])}
 
     def evaluate(self, tables: Mapping[str, DataFrame], params: CapexParameters | None = None, strict: bool = False) -> DataFrame:
         params = params or CapexParameters()
@@ -88,10 +90,14 @@ class CapitalExpenditure:
         text_of = lambda *cols: F.lower(F.concat_ws(" ", *cols))
 
         # One bit per trigger term and one per support kind hinted at; or-ing bits has a partial form.
+        # Most texts hold no term at all, which one joint pattern finds out.
+        every = [*terms, *[word for k in KINDS for word in params.counter_terms[k]]]
+
         def bits(text: Column) -> Column:
             # descriptions were folded when they were prepared
             tests = [any_term(text, [term], folded=True) for term in terms] + [any_term(text, params.counter_terms[k], folded=True) for k in KINDS]
-            return reduce(lambda a, b: a.bitwiseOR(b), [F.when(test, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, test in enumerate(tests)])
+            single = [F.when(test, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, test in enumerate(tests)]
+            return F.when(any_term(text, every, folded=True), reduce(lambda a, b: a.bitwiseOR(b), single)).otherwise(F.lit(0).cast("long"))
 
         own = additions.select("addition_id", bits(text_of("description", "category")).alias("b"))
         linked = own.unionByName(t["postings"].select("addition_id", bits(F.col("description")).alias("b"))).unionByName(

@@ -17,6 +17,7 @@ from tallymark.functions.text import normalize_identifier
 from tallymark.operators import aggregates, checks, joins
 from tallymark.operators.ordering import first_per_key
 from tallymark.plans.base import outcome_counter, parameter_map, review_reasons
+from tallymark.session import materialize
 
 SUPPORT_KINDS = ("contract", "deliverable", "service_acceptance", "goods_receipt", "legitimate_four_eyes")
 
@@ -59,24 +60,27 @@ class VendorIntegrity:
                 checks.require_none(checks.duplicate_keys(keyed, [key]), f"duplicate {key}")
         ident = lambda df, *cols: df.withColumns({c: normalize_identifier(F.col(c)) for c in cols})
         lifecycle = ident(t["lifecycle"], "user_id")
-        invoices = ident(t["invoices"], "invoice_id", "posting_user_id")
-        payments = ident(t["payments"], "payment_id", "invoice_id", "execution_user_id", "reversal_of")
+        # The two large tables feed several aggregates each; deduplicate and normalise them once.
+        invoices = materialize(ident(t["invoices"], "invoice_id", "posting_user_id"))
+        payments = materialize(ident(t["payments"], "payment_id", "invoice_id", "execution_user_id", "reversal_of"))
         approvals = ident(t["approvals"], "approver_user_id")
 
         creation = first_per_key(lifecycle.where("kind = 'created'"), ["vendor_id"], ["event_date", "record_id"], ["event_date", "user_id", "evidence_id"])
-        creation = creation.select("vendor_id", F.col("event_date").alias("created_on"), F.col("user_id").alias("creator"), F.col("evidence_id").alias("creation_evidence"))
+        creation = materialize(creation.select("vendor_id", F.col("event_date").alias("created_on"), F.col("user_id").alias("creator"), F.col("evidence_id").alias("creation_evidence")))
 
         # Reversals: the first one naming a payment takes it back.
         as_pay = payments.select("payment_id", F.col("vendor_id").alias("payee"), "payment_date", F.col("gross_amount").alias("amount"), "reversal_of")
         resolved = joins.explicit_reversals(as_pay)
         cancelled = resolved.select(F.col("target_id").alias("payment_id"), F.lit(True).alias("cancelled"))
         settled = resolved.select(F.col("reversal_id").alias("payment_id"), F.lit(True).alias("settles"))
-        flagged = payments.join(cancelled, "payment_id", "left").join(settled, "payment_id", "left")
+        flagged = materialize(payments.join(cancelled, "payment_id", "left").join(settled, "payment_id", "left"))
         open_reversal = (F.col("gross_amount") < 0) & F.col("settles").isNull()
         active_row = (F.col("gross_amount") > 0) & F.col("cancelled").isNull()
         active = flagged.where(active_row)
 
-        by_vendor: list[DataFrame] = [creation]
+        # One row per vendor from every input; the outer joins below make up the set of all vendors.
+        by_vendor: list[DataFrame] = [lifecycle.groupBy("vendor_id").agg(F.count(F.when(F.col("kind") == "approved", F.lit(1))).alias("approval_events"))]
+        derived: list[DataFrame] = [creation]
         by_vendor.append(invoices.groupBy("vendor_id").agg(
             F.count(F.lit(1)).alias("invoice_count"), F.sum("net_amount").cast(CENTS).alias("invoice_net_amount"), F.sum("tax_amount").cast(CENTS).alias("invoice_tax_amount"),
             F.min("posting_date").alias("first_invoice"), *[F.max((F.col("purchase_kind") == k).cast("int")).alias(f"buys_{k}") for k in ("service", "goods", "unknown")],
@@ -86,22 +90,21 @@ class VendorIntegrity:
             F.min(F.when(active_row, F.col("payment_date"))).alias("first_payment"), F.count(F.when(open_reversal, F.lit(1))).alias("open_reversals"),
             F.count(F.when(F.col("cancelled"), F.lit(1))).alias("resolved_reversals"), F.min("evidence_id").alias("payment_evidence")))
         quick = joins.quickly_paid(active, invoices.select("vendor_id", "invoice_id", "posting_date"), params.rapid_invoice_payment_days)
-        by_vendor.append(quick.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("quick_pairs")))
+        derived.append(quick.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("quick_pairs")))
 
         posting_users = invoices.select("vendor_id", F.col("posting_user_id").alias("user_id")).distinct()
         paying_users = active.select("vendor_id", F.col("execution_user_id").alias("user_id")).distinct()
-        by_vendor.append(self.user_flags(creation, lifecycle, approvals, posting_users, paying_users))
-        by_vendor.append(self.permission_conflicts(creation, tables["permissions"], posting_users, paying_users))
+        derived.append(self.user_flags(creation, lifecycle, approvals, posting_users, paying_users))
+        derived.append(self.permission_conflicts(creation, tables["permissions"], posting_users, paying_users))
         by_vendor.append(approvals.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("log_records"), F.min("evidence_id").alias("approval_evidence")))
-        by_vendor.append(lifecycle.where("kind = 'approved'").groupBy("vendor_id").agg(F.count(F.lit(1)).alias("approval_events")))
         by_vendor.append(aggregates.prior_activity(t["history"]))
         kind_is = lambda k: F.col("kind") == k
         by_vendor.append(t["support"].groupBy("vendor_id").agg(
             *[F.count(F.when(kind_is(k), F.lit(1))).alias(f"n_{k}") for k in SUPPORT_KINDS],
             *[F.max(F.when(kind_is(k), F.col("present").cast("int"))).alias(f"has_{k}") for k in SUPPORT_KINDS]))
 
-        vendors = reduce(DataFrame.unionByName, [t[n].select("vendor_id") for n in ("lifecycle", "invoices", "payments", "approvals", "history", "support")]).distinct()
-        wide = reduce(lambda left, right: left.join(right, "vendor_id", "left"), by_vendor, vendors)
+        wide = reduce(lambda left, right: left.join(right, "vendor_id", "full_outer"), by_vendor)
+        wide = reduce(lambda left, right: left.join(right, "vendor_id", "left"), derived, wide)
         counts = ("invoice_count", "open_reversals", "resolved_reversals", "quick_pairs", "log_records", "approval_events", "history_records", "prior_count",
                   "gross_cash_paid", "buys_service", "buys_goods", "buys_unknown", "conflicting_users", *[f"n_{k}" for k in SUPPORT_KINDS], *[f"has_{k}" for k in SUPPORT_KINDS])
         flags = ("creator_approves", "independent", "creator_posts", "creator_pays")

@@ -25,6 +25,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
+        # Small local shuffles keep their partitions instead of being merged into one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
