@@ -65,4 +65,5 @@ def engagement_counts(cases: DataFrame, sources: DataFrame) -> DataFrame:
     tallies = cases.agg(F.count(F.lit(1)).alias("cases"), *[
         F.count(F.when(F.col("verdict") == v, F.lit(1))).alias(v.lower()) for v in V.VERDICTS])
     totals = sources.agg(F.count(F.lit(1)).alias("source_files"), F.sum("rows").cast("long").alias("events"))
-    return tallies.withColumn("_k", F.lit(1)).join(totals.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    both = tallies.unionByName(totals, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.money import CENTS, first_digit
 from tallymark.operators import aggregates, filters
 from tallymark.operators.ordering import sample_per_key
-from tallymark.plans.base import Findings, Wording, counter, finish, step, union_findings
+from tallymark.plans.base import Findings, Wording, counter, finish, single_row, step, union_findings
 
 ROUND = Wording("Unusually round, large postings", "Accuracy / existence (lead)", "low", "control",
                 "Trace a sample of the postings to their documents.", "Rounding alone is no error.")
@@ -78,12 +78,12 @@ class AnomalyDiscovery:
 
     def _sample(self, rows: DataFrame, size: int) -> DataFrame:
         ids = sample_per_key(rows.withColumn("k", F.lit(1)), ["k"], ["evidence_id"], "evidence_id", size)
-        return ids.groupBy("k").agg(F.sort_array(F.collect_list("evidence_id")).alias("sample"))
+        return ids.agg(F.sort_array(F.collect_list("evidence_id")).alias("sample"))
 
     def round_numbers(self, ledger: DataFrame, p: AnomalyParameters) -> Findings:
         hits = ledger.where(filters.round_number(F.col("amount"), F.lit(p.round_min_magnitude), F.lit(p.round_multiple)))
-        total = aggregates.round_posting_total(ledger, p.round_min_magnitude, p.round_multiple).where("postings > 0")
-        rows = total.withColumn("k", F.lit(1)).join(self._sample(hits, p.evidence_sample_size), "k")
+        total = aggregates.round_posting_total(ledger, p.round_min_magnitude, p.round_multiple)
+        rows = single_row(total, self._sample(hits, p.evidence_sample_size)).where("postings > 0")
         findings = finish(
             rows, self.id, self.version, ROUND, finding_id=F.lit("anomaly:round-number-postings"),
             subject=F.lit("anomaly:round-number-postings"), narrative=F.format_string("%d round postings", "postings"),

@@ -89,6 +89,12 @@ def finish(df: DataFrame, control_id: str, version: str, words: Wording, **colum
         (chosen[c].cast(casts[c]) if c in casts else chosen[c]).alias(c) for c in FINDING_COLUMNS])
 
 
+def single_row(*parts: DataFrame) -> DataFrame:
+    """Put one-row frames with different columns side by side, without a join."""
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return whole.agg(*[F.max(c).alias(c) for c in whole.columns])
+
+
 def union_findings(parts: list[Findings]) -> Findings:
     return Findings(
         reduce(DataFrame.unionByName, [p.findings for p in parts]),

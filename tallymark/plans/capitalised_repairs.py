@@ -13,7 +13,7 @@ from tallymark.functions.text import contains_any
 from tallymark.operators import filters
 from tallymark.operators.joins import co_occurrence, in_chart, with_first_description
 from tallymark.operators.ordering import sample_per_key
-from tallymark.plans.base import Findings, Wording, counter, finish, step
+from tallymark.plans.base import Findings, Wording, counter, finish, single_row, step
 
 WORDS = Wording(
     title="Repairs capitalised as fixed assets", assertion="Classification / capitalisation",
@@ -50,8 +50,8 @@ class CapitalisedRepairs:
             hits.select("asset_no"), "asset_no").isEmpty()
         sample = sample_per_key(hits.withColumn("one", F.lit(1)), ["one"], ["evidence_id"], "evidence_id", 8)
         steps = sample.agg(F.sort_array(F.collect_list("evidence_id")).alias("sample"))
-        totals = hits.agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast(CENTS).alias("total")).where("n > 0")
-        rows = totals.withColumn("k", F.lit(1)).join(steps.withColumn("k", F.lit(1)), "k")
+        totals = hits.agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast(CENTS).alias("total"))
+        rows = single_row(totals, steps).where("n > 0")
         findings = finish(
             rows, self.id, self.version, WORDS, finding_id=F.lit(self.id), subject=F.lit("capitalised-repairs"),
             narrative=F.format_string("%d additions read like repairs", "n"), exposure=F.col("total"),

@@ -13,7 +13,7 @@ from tallymark.functions.money import CENTS
 from tallymark.functions.policy import balance_sheet_date
 from tallymark.operators import filters
 from tallymark.operators.ordering import sample_per_key
-from tallymark.plans.base import Findings, Wording, counter, finish, step
+from tallymark.plans.base import Findings, Wording, counter, finish, single_row, step
 
 WORDS = Wording(
     title="Prior-period costs booked in the next period", assertion="Cut-off / completeness of liabilities",
@@ -55,8 +55,8 @@ class PeriodCutoff:
         hits = self.lines(tables, params or {})
         sample = sample_per_key(hits.withColumn("one", F.lit(1)), ["one"], ["document_no", "evidence_id"], "evidence_id", 8)
         steps = sample.agg(F.sort_array(F.collect_list("evidence_id")).alias("sample"))
-        totals = hits.agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast(CENTS).alias("total")).where("n > 0")
-        rows = totals.withColumn("k", F.lit(1)).join(steps.withColumn("k", F.lit(1)), "k")
+        totals = hits.agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast(CENTS).alias("total"))
+        rows = single_row(totals, steps).where("n > 0")
         findings = finish(
             rows, self.id, self.version, WORDS, finding_id=F.lit(self.id), subject=F.lit("cutoff-subsequent-invoices"),
             narrative=F.format_string("%d later invoices relate to prior-period service", "n"), exposure=F.col("total"),
