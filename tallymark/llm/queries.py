@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, packing, quality_rules, simhash
+from tallymark.llm import bpe, packing, quality_rules, simhash, toxicity
 from tallymark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,12 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs.where(~toxicity.held_out()), table(spark, folder, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     found = bpe.encode(table(spark, folder, "documents"), decoded="decoded")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -35,5 +41,5 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op3_bpe, op6_packing, op7_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_bpe, op6_packing, op7_quality_rules)}
 ORACLES: dict[str, str] = {}
