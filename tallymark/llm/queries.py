@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, packing, quality_rules, simhash, topk, toxicity
+from tallymark.llm import bpe, html_extract, packing, quality_rules, simhash, topk, toxicity
 from tallymark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op4_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_html(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_extract.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     found = packing.pack_documents(table(spark, folder, "documents"))
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -45,7 +50,7 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_bpe, op4_topk, op6_packing, op7_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_bpe, op4_topk, op5_html, op6_packing, op7_quality_rules)}
 ORACLES: dict[str, str] = {
     "op4_topk": """
         WITH whole AS (
