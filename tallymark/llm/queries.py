@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, html_extract, packing, quality_rules, simhash, topk, toxicity
+from tallymark.llm import bpe, html_extract, lm, packing, quality_rules, simhash, topk, toxicity
 from tallymark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,12 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_bpe, op4_topk, op5_html, op6_packing, op7_quality_rules)}
+def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
+    found = lm.scores(table(spark, folder, "documents"))
+    return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_bpe, op4_topk, op5_html, op6_packing, op7_quality_rules, op10_lm)}
 ORACLES: dict[str, str] = {
     "op4_topk": """
         WITH whole AS (
