@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, html_extract, lm, packing, quality_rules, simhash, topk, toxicity
+from tallymark.llm import bpe, chat, cotrain, html_extract, lm, packing, quality_rules, simhash, topk, toxicity
 from tallymark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,12 +50,20 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.rotate(table(spark, folder, "conversations"))
+
+
+def op9_cotrain(spark: SparkSession, folder: str) -> DataFrame:
+    return cotrain.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
     found = lm.scores(table(spark, folder, "documents"))
     return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_bpe, op4_topk, op5_html, op6_packing, op7_quality_rules, op10_lm)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_bpe, op4_topk, op5_html, op6_packing, op7_quality_rules, op8_chat, op9_cotrain, op10_lm)}
 ORACLES: dict[str, str] = {
     "op4_topk": """
         WITH whole AS (
@@ -67,4 +75,23 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
     """,
+    "op8_chat": """
+        WITH said AS (
+          SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+        people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
+        seen AS (
+          SELECT s.*, p.perspective, CASE WHEN s.speaker = p.perspective THEN 'assistant' WHEN s.speaker = 'system' THEN 'system' ELSE 'user' END AS shown
+          FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+        headed AS (
+          SELECT *, '<|im_start|>' || shown || CASE WHEN shown = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head,
+                 replace(replace(text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10) AS tail FROM seen),
+        placed AS (
+          SELECT *, head || tail AS rendered, length(head || tail) AS length, row_number() OVER o - 1 AS position,
+                 CAST(coalesce(sum(length(head || tail)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+          FROM headed WINDOW o AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text))
+        SELECT conv_id, perspective, position, shown, CASE WHEN shown = 'user' THEN speaker END AS name, rendered, start, length,
+               CASE WHEN shown = 'assistant' THEN start + length(head) END AS target_start,
+               CASE WHEN shown = 'assistant' THEN start + length - 1 END AS target_end
+        FROM placed
+    """,
 }

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.llm.common import chunks, free_names, remainder
+from tallymark.llm.common import chunks, free_names, logistic, remainder
 from tallymark.session import materialize
 
 #: Labelled documents of each class that the model is fitted on, taken in the order of a hash of their ids.
@@ -254,16 +254,6 @@ def _posterior(emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> tuple[n
     return joint[:, 1] / joint.sum(1), both
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Weighted logistic regression with a ridge, by Newton steps; the intercept comes last."""
-    x = np.c_[x, np.ones(len(x))]
-    beta, ridge = np.zeros(x.shape[1]), np.diag([0.5] * (x.shape[1] - 1) + [1e-3])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        beta = beta + np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (w * (y - p)) - ridge @ beta)
-    return beta
-
-
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_class: int = PER_CLASS) -> Field:
     """Fit on at most ``per_class`` labelled documents of each class, the same ones on every run.
 
@@ -294,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             x.append(tagger.measures(evidence)[0])
         share = {1.0: positive / max(1, y.sum()), 0.0: negative / max(1, (1 - y).sum())}
         w = np.array([share[v] for v in y])
-        beta = _calibrate(np.array(x), y, w / w.mean())
+        beta = logistic(np.array(x), y, w / w.mean())
         model.calibration, model.intercept = tuple(beta[:-1].tolist()), float(beta[-1])
     return model
 
