@@ -9,6 +9,7 @@ from heapq import heapify, heappop, heappush
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -16,7 +17,7 @@ from tallymark.llm import tokens
 from tallymark.llm.common import chunks
 
 #: Pieces (and runs of ids) that a worker keeps with their counterparts, and distinct pieces of one recursive query.
-KEPT, SLICE = 300_000, 40_000
+KEPT, SLICE = 400_000, 40_000
 #: Longer pieces (in bytes) take one contraction per round of the query, so they leave it for a heap.
 LONG = 256
 #: Ids that one decoding query aggregates.
@@ -86,16 +87,16 @@ def _merges(path: str) -> dict[tuple[int, int], int]:
     return {(a, b): r for a, b, r in _database(path)[0].execute("SELECT l, r, rank FROM merges").fetchall()}
 
 
-def encode_pieces(words: list[bytes], path: str) -> list[np.ndarray]:
-    """Ids of each distinct piece."""
+def encode_pieces(words: list[bytes], path: str) -> list[bytes]:
+    """Ids of each distinct piece, four bytes each."""
     base, byte_ids = _database(path)
     ranks, out = tokens.ranks(path), [None] * len(words)
     open_ = []
     for k, word in enumerate(words):
         if word in ranks:
-            out[k] = np.array([ranks[word]], np.int32)
+            out[k] = ranks[word].to_bytes(4, "little")
         elif len(word) > LONG:
-            out[k] = np.array(_contract(byte_ids[np.frombuffer(word, np.uint8)].tolist(), _merges(path)), np.int32)
+            out[k] = np.array(_contract(byte_ids[np.frombuffer(word, np.uint8)].tolist(), _merges(path)), np.int32).tobytes()
         else:
             open_.append(k)
     for at in range(0, len(open_), SLICE):
@@ -105,12 +106,16 @@ def encode_pieces(words: list[bytes], path: str) -> list[np.ndarray]:
         ids = byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         base.register("words", pa.table({"w": pa.array(range(len(some)), pa.int32()), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))}))
         found = base.sql(_ENCODE).to_arrow_table().column("ids").combine_chunks()
-        flat, cuts = found.flatten().to_numpy(), np.r_[0, np.cumsum(found.value_lengths().to_numpy())]
-        for n, k in enumerate(some):
-            out[k] = flat[cuts[n]:cuts[n + 1]].copy()
+        for k, ids in zip(some, _slices(found.flatten().to_numpy().tobytes(), 4 * found.value_lengths().to_numpy())):
+            out[k] = ids
     return out
 
 
+def _slices(raw: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths).tolist()
+    return [raw[a:b] for a, b in zip([0] + ends, ends)]
+
+
 class _Kept(dict):
     """What a worker has worked out, kept between batches up to a bound; only new keys are worked out."""
 
@@ -130,7 +135,7 @@ def _kept(path: str) -> tuple[_Kept, _Kept]:
 def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     find, kept = tokens.pieces().findall, _kept(path)[0]
     cut = [find(t) if t else [] for t in texts]
-    kept.learn(set().union(*cut), lambda new: [x.tobytes() for x in encode_pieces([p.encode() for p in new], path)])
+    kept.learn(set().union(*cut), lambda new: encode_pieces([p.encode() for p in new], path))
     return [np.frombuffer(b"".join(map(kept.__getitem__, c)), np.int32) for c in cut]
 
 
@@ -140,17 +145,16 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
 
 
 def _runs(ids: np.ndarray, opens: np.ndarray) -> list[bytes]:
-    """Ids in runs that begin where a token begins with a space, each run as bytes."""
-    cuts = (np.flatnonzero(opens[ids[1:]]) + 1) * 4 if len(ids) else np.zeros(0, np.int64)
-    raw, ends = ids.tobytes(), cuts.tolist()
-    return [raw[a:b] for a, b in zip([0] + ends, ends + [len(raw)])]
+    """Ids in runs that begin where a token begins with a space or mark, each run as bytes."""
+    cuts = (np.flatnonzero(opens[ids[1:]]) + 1) * 4
+    return _slices(ids.tobytes(), np.diff(cuts, prepend=0, append=4 * len(ids)))
 
 
 @lru_cache(maxsize=2)
 def _opens(path: str) -> np.ndarray:
     ranks = tokens.ranks(path)
     opens = np.zeros(max(ranks.values()) + 1, bool)
-    opens[[r for t, r in ranks.items() if t.startswith(b" ")]] = True
+    opens[[r for t, r in ranks.items() if t[0] < 0x80 and not t[:1].isalnum()]] = True
     return opens
 
 
@@ -159,23 +163,33 @@ def _decode_runs(runs: list[bytes], path: str) -> list[bytes]:
 
     Decoding is token by token, so a very long run may be taken in parts.
     """
-    base, out = _database(path)[0], [[] for _ in runs]
-    parts = [(k, run[i:i + 4 * DECODED]) for k, run in enumerate(runs) for i in range(0, len(run), 4 * DECODED)]
-    while parts:
-        held, some = 0, 0
-        while some < len(parts) and (not some or held + len(parts[some][1]) <= 4 * DECODED):
-            held, some = held + len(parts[some][1]), some + 1
-        base.register("docs", pa.table({"d": pa.array(range(some), pa.int32()), "ids": _lists([np.frombuffer(x, np.int32) for _, x in parts[:some]])}))
-        for d, latin in base.execute(_DECODE + " ORDER BY d").fetchall():
-            out[parts[d][0]].append(latin.encode("latin-1"))
-        parts = parts[some:]
-    return [b"".join(x) for x in out]
+    base, out, most = _database(path)[0], [], 4 * DECODED
+    owners, parts = list(range(len(runs))), runs
+    if any(len(r) > most for r in runs):
+        owners, parts = zip(*((k, r[i:i + most]) for k, r in enumerate(runs) for i in range(0, len(r), most)))
+    sizes = np.array([len(x) for x in parts], np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(parts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        offsets = np.r_[0, np.cumsum(sizes[at:stop] // 4)].astype(np.int32)
+        ids = pa.array(np.frombuffer(b"".join(parts[at:stop]), np.int32))
+        base.register("docs", pa.table({"d": pa.array(range(stop - at), pa.int32()), "ids": pa.ListArray.from_arrays(pa.array(offsets), ids)}))
+        latin = base.sql(_DECODE + " ORDER BY d").to_arrow_table().column("latin")
+        out += _slices("".join(latin.to_pylist()).encode("latin-1"), pc.utf8_length(latin).to_numpy())
+        at = stop
+    if parts is runs:
+        return out
+    whole = [[] for _ in runs]
+    for k, x in zip(owners, out):
+        whole[k].append(x)
+    return [b"".join(x) for x in whole]
 
 
 def decode_lists(lists: list[np.ndarray], path: str) -> list[bytes]:
     """Bytes of every list of ids; equal runs of ids are decoded once."""
     opens, kept = _opens(path), _kept(path)[1]
-    cut = [_runs(ids, opens) for ids in lists]
+    cut = [_runs(ids, opens) if len(ids) else [] for ids in lists]
     kept.learn(set().union(*cut), lambda new: _decode_runs(new, path))
     return [b"".join(map(kept.__getitem__, c)) for c in cut]
 
