@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -16,26 +17,26 @@ from pyspark.sql import types as T
 from tallymark.llm import tokens
 from tallymark.llm.common import chunks
 
-#: Pieces (and runs of ids) that a worker keeps with their counterparts, and distinct pieces of one recursive query.
-KEPT, SLICE = 400_000, 40_000
+#: Pieces, and runs of ids, after which a worker starts anew; distinct pieces of one recursive query; bytes of text of one round.
+KEPT, SLICE, ROUND = 450_000, 50_000, 16 << 20
 #: Longer pieces (in bytes) take one contraction per round of the query, so they leave it for a heap.
 LONG = 256
 #: Ids that one decoding query aggregates.
 DECODED = 400_000
 
 _ENCODE = """
-WITH RECURSIVE step(w, ids) USING KEY (w) AS (
+WITH RECURSIVE step(w, ids) AS (
   SELECT w, ids FROM words
-  UNION
-  SELECT step.w, step.ids[:best.pos - 1] || [best.merged] || step.ids[best.pos + 2:]
+  UNION ALL
+  SELECT step.w, step.ids[:best.b % 1024 - 1] || [(best.b // 1024)::INTEGER] || step.ids[best.b % 1024 + 2:]
   FROM step JOIN (
-    SELECT w, min(rank * 1024 + pos) % 1024 AS pos, (min(rank * 1024 + pos) // 1024)::INTEGER AS merged
+    SELECT w, min(rank * 1024 + pos) AS b
     FROM (SELECT w, unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, unnest(range(1, len(ids))) AS pos FROM step) AS pairs
     JOIN merges USING (l, r)
     GROUP BY w
   ) AS best USING (w)
 )
-SELECT w, ids FROM step ORDER BY w
+SELECT w, arg_min(ids, len(ids)) AS ids FROM step GROUP BY w ORDER BY w
 """
 
 _DECODE = """
@@ -116,27 +117,63 @@ def _slices(raw: bytes, lengths: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0] + ends, ends)]
 
 
-class _Kept(dict):
-    """What a worker has worked out, kept between batches up to a bound; only new keys are worked out."""
+class _Numbers(dict):
+    """Numbers keys in the order they are met."""
 
-    def learn(self, found: set, work: Callable[[list], list]) -> None:
-        if len(self) > KEPT:
-            self.clear()
-        new = [x for x in found if x not in self]
-        self.update(zip(new, work(new)))
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+class _Known:
+    """In this worker: numbers of pieces and of runs of ids, and what each stands for. Both start
+    anew between batches once they have grown to their bound."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces, self.flat, self.lengths = _Numbers(), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.runs, self.decoded = _Numbers(), []
+
+    def encode(self, texts: Iterator[str | None]) -> list[np.ndarray]:
+        if len(self.pieces) > KEPT or len(self.runs) > KEPT:
+            self.forget()
+        find, number = tokens.pieces().findall, self.pieces.__getitem__
+        cut = [np.array(list(map(number, find(t))), np.int32) if t else np.zeros(0, np.int32) for t in texts]
+        new = encode_pieces([p.encode() for p in islice(self.pieces, len(self.lengths), None)], self.path)
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(new), np.int32)])
+        self.lengths = np.concatenate([self.lengths, np.array([len(x) // 4 for x in new], np.int64)])
+        starts = np.cumsum(self.lengths) - self.lengths
+        return [self._gathered(starts, c) for c in cut]
+
+    def _gathered(self, starts: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Ids of the numbered pieces one after the other."""
+        sizes = self.lengths[cut]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(starts[cut] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def decode(self, lists: list[np.ndarray]) -> list[bytes]:
+        opens, number = _opens(self.path), self.runs.__getitem__
+        cut = [np.array(list(map(number, _runs(ids, opens))), np.int32) if len(ids) else np.zeros(0, np.int32) for ids in lists]
+        self.decoded += _decode_runs(list(islice(self.runs, len(self.decoded), None)), self.path)
+        known = self.decoded.__getitem__
+        return [b"".join(map(known, c.tolist())) for c in cut]
 
 
 @lru_cache(maxsize=2)
-def _kept(path: str) -> tuple[_Kept, _Kept]:
-    """Piece to ids, and run of ids to bytes."""
-    return _Kept(), _Kept()
+def _known(path: str) -> _Known:
+    return _Known(path)
 
 
 def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
-    find, kept = tokens.pieces().findall, _kept(path)[0]
-    cut = [find(t) if t else [] for t in texts]
-    kept.learn(set().union(*cut), lambda new: encode_pieces([p.encode() for p in new], path))
-    return [np.frombuffer(b"".join(map(kept.__getitem__, c)), np.int32) for c in cut]
+    return _known(path).encode(texts)
+
+
+def decode_lists(lists: list[np.ndarray], path: str) -> list[bytes]:
+    """Bytes of every list of ids; equal runs of ids are decoded once."""
+    return _known(path).decode(lists)
 
 
 def _lists(ids: list[np.ndarray]) -> pa.Array:
@@ -186,14 +223,6 @@ def _decode_runs(runs: list[bytes], path: str) -> list[bytes]:
     return [b"".join(x) for x in whole]
 
 
-def decode_lists(lists: list[np.ndarray], path: str) -> list[bytes]:
-    """Bytes of every list of ids; equal runs of ids are decoded once."""
-    opens, kept = _opens(path), _kept(path)[1]
-    cut = [_runs(ids, opens) if len(ids) else [] for ids in lists]
-    kept.learn(set().union(*cut), lambda new: _decode_runs(new, path))
-    return [b"".join(map(kept.__getitem__, c)) for c in cut]
-
-
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "ids", path: str | None = None, decoded: str | None = None) -> DataFrame:
     """(doc_id, ids): the ids of every whole text, without special tokens.
 
@@ -207,8 +236,8 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, text):
-                ids = encode_texts(part.column(1).to_pylist(), path)
+            for part in chunks(batch, text, ROUND):
+                ids = encode_texts((x.as_py() for x in part.column(1)), path)
                 columns = [part.column(0), _lists(ids)] + ([pa.array(decode_lists(ids, path), pa.binary())] if decoded else [])
                 yield pa.RecordBatch.from_arrays(columns, names=[doc_id, name, *(f.name for f in more)])
 
