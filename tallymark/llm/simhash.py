@@ -177,10 +177,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     part in choosing the smallest id; a group of null ids only has a null component.
     """
     prints = materialize(with_fingerprint(docs.select(doc_id, text), text, width=width, keep_text=False))
-    nodes = materialize(prints.groupBy("simhash").agg(F.min(doc_id).alias("first_id")))
-    groups = materialize(components(links(nodes, dense=dense)))
-    linked = nodes.join(groups, nodes["simhash"] == groups["node"]).select("simhash", "root", "first_id")
-    smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    moved = linked.select("simhash", "root").join(smallest, "root").select("simhash", "component_id")
-    named = materialize(nodes.join(moved, "simhash", "left").select("simhash", F.coalesce("component_id", "first_id").alias("component_id")))
-    return prints.join(named, "simhash").select(doc_id, "simhash", "component_id")
+    return prints.join(_groups(prints, "simhash", doc_id, dense), "simhash").select(doc_id, "simhash", F.col("component").alias("component_id"))
+
+
+def _groups(prints: DataFrame, name: str, key: str, dense: int) -> DataFrame:
+    """(simhash, component): for every distinct fingerprint the smallest key reachable; written."""
+    nodes = materialize(prints.groupBy(F.col(name).alias("simhash")).agg(F.min(key).alias("first")))
+    found = materialize(components(links(nodes, dense=dense)))
+    linked = nodes.join(found, nodes["simhash"] == found["node"]).select("simhash", "root", "first")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component"))
+    moved = linked.select("simhash", "root").join(smallest, "root").select("simhash", "component")
+    return materialize(nodes.join(moved, "simhash", "left").select("simhash", F.coalesce("component", "first").alias("component")))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, dense: int = DENSE) -> DataFrame:
+    """Of every near-duplicate group the row with the smallest id (null last), all columns kept.
+
+    Rows are told apart by what they hold, so a repeated id with another text is a row of its own,
+    and of rows equal in every column one stays. All empty texts are one group.
+    """
+    named = docs.withColumns({"_id": F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id")), "_content": F.xxhash64(*docs.columns)})
+    prints = materialize(with_fingerprint(named.select("_id", "_content", text), text, "_print", width, keep_text=False))
+    grouped = prints.join(_groups(prints, "_print", "_id", dense).withColumnRenamed("simhash", "_print"), "_print")
+    winners = grouped.groupBy("component").agg(F.min(F.struct("_id", "_content")).alias("w")).select("w._id", "w._content")
+    copies = materialize(prints.join(winners, ["_id", "_content"], "left_semi").groupBy("_id", "_content").agg(F.count(F.lit(1)).alias("_copies")))
+    kept = named.join(copies, ["_id", "_content"])
+    once = kept.where(F.col("_copies") == 1).select(docs.columns)
+    return once.unionByName(kept.where(F.col("_copies") > 1).select(docs.columns).dropDuplicates())
