@@ -146,7 +146,7 @@ def links(prints: DataFrame, name: str = "simhash", dense: int = DENSE) -> DataF
     more than ``dense`` entries is linked through shared centres instead: an entry lists the other
     halves within 2 bits of its own, a probe those within 1; all that share a centre which some entry
     has within 1 bit are linked to that entry. Every such link is true, and every true link is
-    implied, with rows linear in the entries.
+    implied, with rows linear in the entries. Both ways give a spanning set, not all pairs.
     """
     half = {0: F.shiftrightunsigned(F.col(name), 32), 1: F.col(name).bitwiseAND(F.lit(0xFFFFFFFF))}
     side = lambda s: F.transform(F.array(*[F.lit(m) for m in _masks(1)]), lambda m: F.struct(
