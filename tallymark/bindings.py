@@ -51,7 +51,7 @@ SQL = {
         CAST(l_suppkey % 5 AS VARCHAR) AS asset_group, '' AS posting_text,
         'ev_' || substr(sha256('lineitem|r' || l_orderkey || '|sNone|c' || l_linenumber || '|pNone|'
              || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)), 1, 16) AS evidence_id
-        FROM lineitem WHERE l_quantity > 25""",
+        FROM lineitem""",
     "descriptions": "SELECT CAST(p_partkey AS VARCHAR) AS asset_no, p_name AS asset_desc, 0 AS table_no, p_partkey AS row_no FROM part",
     "chart": "SELECT CAST(r_regionkey AS VARCHAR) AS account, CASE WHEN r_regionkey < 3 THEN 'Bilanzkonto' ELSE 'GuV' END AS account_type FROM region",
     "texts": "SELECT doc_id AS text_id, text FROM documents",
@@ -160,7 +160,7 @@ class Tables:
 
     @property
     def additions(self) -> DataFrame:
-        return self.lineitem.where("l_quantity > 25").select(
+        return self.lineitem.select(
             F.col("l_partkey").cast("string").alias("asset_no"), F.col("l_extendedprice").cast(CENTS).alias("amount"),
             F.when(F.col("l_linestatus") == "F", "Zugang").otherwise("Abgang").alias("posting_kind"),
             (F.col("l_suppkey") % 5).cast("string").alias("asset_group"), F.lit("").alias("posting_text"), self._line_id.alias("evidence_id"))

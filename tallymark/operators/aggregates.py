@@ -26,8 +26,11 @@ def round_posting_total(ledger: DataFrame, minimum: Decimal, multiple: Decimal)
     )
 
 
-def duplicate_references(ledger: DataFrame, minimum_count: int = 2, limit: int | None = 25) -> DataFrame:
-    """Same document and signed amount booked repeatedly; the excess bookings are the exposure."""
+def duplicate_references(ledger: DataFrame, minimum_count: int = 2, limit: int | None = None) -> DataFrame:
+    """Same document and signed amount booked repeatedly; the excess bookings are the exposure.
+
+    All groups unless a report asks for the first ``limit`` of them.
+    """
     groups = (
         ledger.where(F.trim("document_no") != "")
         .groupBy(F.trim("document_no").alias("document_no"), "amount")
@@ -142,8 +145,8 @@ def expression_text(amount: Column, order: Column) -> Column:
     return F.when(F.size(operands) == 0, F.lit("0")).otherwise(F.array_join(operands, " + "))
 
 
-def entity_catalog(views: Sequence[tuple[DataFrame, str, str]], longest_user: int = 12) -> DataFrame:
-    """Distinct entity ids; each view is (table, column, kind)."""
+def entity_catalog(views: Sequence[tuple[DataFrame, str, str]], longest_user: int | None = None) -> DataFrame:
+    """Distinct entity ids; each view is (table, column, kind). Longer user ids go only if a limit is given."""
     parts = [
         df.select(F.lit(kind).alias("kind"), F.trim(F.col(column).cast("string")).alias("entity_id"))
         for df, column, kind in views
@@ -151,7 +154,9 @@ def entity_catalog(views: Sequence[tuple[DataFrame, str, str]], longest_user: in
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    usable = (F.col("entity_id") != "") & ((F.col("kind") != "user") | (F.length("entity_id") <= longest_user))
+    usable = F.col("entity_id") != ""
+    if longest_user is not None:
+        usable = usable & ((F.col("kind") != "user") | (F.length("entity_id") <= longest_user))
     return whole.where(usable).distinct()
 
 

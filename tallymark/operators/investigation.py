@@ -15,7 +15,7 @@ def tool_plan(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "category string, step int, tool string")
 
 
-def rank_hypotheses(findings: DataFrame, limit: int | None = 5) -> DataFrame:
+def rank_hypotheses(findings: DataFrame, limit: int | None = None) -> DataFrame:
     """One hypothesis per category that has findings, by fixed priority."""
     pairs = [F.lit(x) for c, p in V.CATEGORY_PRIORITY.items() for x in (c, p)]
     grouped = findings.groupBy(F.col("control_id").alias("category")).agg(

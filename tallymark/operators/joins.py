@@ -102,8 +102,12 @@ def substring_pairs(texts: DataFrame, text: str, text_id: str, subjects: DataFra
     found = tokens.join(keyed.where("_word is not null").select(F.col("_word").alias("_token"), "_subject"), "_token").select(text_id, "_subject")
 
     parts = keyed.where("_word is null").select("_subject", _longest_part(F.col("_subject")).alias("_part")).where(F.length("_part") > 0)
-    parts = parts.withColumn("_len", F.least(F.length("_part"), F.lit(_GRAM)))
-    lengths = sorted(r["_len"] for r in parts.select("_len").distinct().collect())  # at most _GRAM numbers
+    # The longest of a few fixed lengths that fits, so a token lists its substrings of those lengths only.
+    fitting = F.lit(_GRAMS[0])
+    for n in _GRAMS[1:]:
+        fitting = F.when(F.length("_part") >= n, n).otherwise(fitting)
+    parts = parts.withColumn("_len", fitting)
+    lengths = sorted(r["_len"] for r in parts.select("_len").distinct().collect())  # at most as many numbers as _GRAMS
     if lengths:
         token = F.col("_token")
         cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(token) - n + 1), lambda i: F.substring(token, i, F.lit(n)))
@@ -118,7 +122,7 @@ def substring_pairs(texts: DataFrame, text: str, text_id: str, subjects: DataFra
     return found.where(~spaced).unionByName(verified.select(text_id, "_subject")).withColumnRenamed("_subject", subject)
 
 
-_GRAM = 48
+_GRAMS = (1, 2, 4, 8, 16)
 
 
 def _longest_part(subject: Column) -> Column:

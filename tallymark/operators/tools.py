@@ -27,15 +27,18 @@ def unpivot_cells(df: DataFrame, source: str, row: str, columns: Sequence[str])
     return cells.withColumn("evidence_id", registry_id(F.col("source_path"), F.col("value"), row=F.col("row")))
 
 
-def search_evidence(cells: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """First hits in (source, row, column) order, and whether more exist."""
+def search_evidence(cells: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """All hits with their whole values; with a limit the first ones in (source, row, column) order,
+    and whether more exist."""
+    if limit is None:
+        return cells.where(filters.holds_text(F.col("value"), query)).withColumn("truncated", F.lit(False))
     hits = top_n(cells.where(filters.holds_text(F.col("value"), query)), ["source_path", "row", "column_no"], limit + 1)
     numbered = hits.withColumn("truncated", F.lit(False))
     from pyspark.sql import Window
     order = Window.partitionBy(F.lit(0)).orderBy("source_path", "row", "column_no")  # at most limit + 1 rows
     counted = numbered.withColumn("_n", F.row_number().over(order)).withColumn(
         "truncated", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) > limit)
-    return counted.where(F.col("_n") <= limit).drop("_n").withColumn("value", F.left("value", F.lit(200)))
+    return counted.where(F.col("_n") <= limit).drop("_n")
 
 
 def vendor_history(ledger: DataFrame) -> DataFrame:
@@ -65,10 +68,11 @@ def receipt_matches(vendors: DataFrame, receipts: DataFrame, vendor: str = "vend
     return matched.select(vendor, (F.col("receipt_count") > 0).alias("matched"), F.col("receipt_count").alias("match_count"))
 
 
-def receipt_total(receipts: DataFrame, cite: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(one-row count, the first cited rows)."""
+def receipt_total(receipts: DataFrame, cite: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one-row count, the cited rows: all, or the first ``cite`` of them)."""
     usable = receipts.where(F.coalesce(F.trim(F.col("vendor").cast("string")), F.lit("")) != "")
-    return usable.agg(F.count(F.lit(1)).alias("match_count")), top_n(usable, ["goods_receipt_no"], cite)
+    cited = usable if cite is None else top_n(usable, ["goods_receipt_no"], cite)
+    return usable.agg(F.count(F.lit(1)).alias("match_count")), cited
 
 
 def payment_clusters_total(findings: DataFrame) -> DataFrame:

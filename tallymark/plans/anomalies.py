@@ -29,7 +29,7 @@ class AnomalyParameters:
     duplicate_min_count: int = 2
     benford_min_sample: int = 200
     benford_max_abs_deviation: Decimal = Decimal("0.05")
-    max_findings_per_signal: int = 25
+    max_findings_per_signal: int | None = None
     evidence_sample_size: int = 8
 
     def __post_init__(self) -> None:
@@ -39,7 +39,7 @@ class AnomalyParameters:
             raise ValueError("duplicate_min_count must be at least 2 and benford_min_sample positive")
         if not 0 <= self.benford_max_abs_deviation <= 1:
             raise ValueError("benford_max_abs_deviation must lie within [0, 1]")
-        if self.max_findings_per_signal < 1 or self.evidence_sample_size < 1:
+        if (self.max_findings_per_signal or 1) < 1 or self.evidence_sample_size < 1:
             raise ValueError("report sizes must be positive")
 
     @classmethod
@@ -51,7 +51,7 @@ class AnomalyParameters:
             if raw is None:
                 continue
             try:
-                if isinstance(item.default, int):
+                if item.default is None or isinstance(item.default, int):
                     chosen[item.name] = int(raw)  # type: ignore[arg-type]
                 elif (number := Decimal(str(raw))).is_finite():
                     chosen[item.name] = number
@@ -99,9 +99,8 @@ class AnomalyDiscovery:
         groups = aggregates.duplicate_references(ledger, p.duplicate_min_count, p.max_findings_per_signal)
         groups = groups.withColumn("finding_id", F.concat_ws(
             ":", F.lit("anomaly:duplicate-reference"), "document_no", F.abs("amount").cast("string")))
-        # A report of at most max_findings rows, so broadcasting it is bounded.
         members = ledger.withColumn("document_no", F.trim("document_no")).join(
-            F.broadcast(groups.select("document_no", "amount", "finding_id")), ["document_no", "amount"])
+            groups.select("document_no", "amount", "finding_id"), ["document_no", "amount"])
         sample = sample_per_key(members, ["document_no", "amount"], ["evidence_id"], "evidence_id", p.evidence_sample_size)
         sample = sample.groupBy("document_no", "amount").agg(F.sort_array(F.collect_list("evidence_id")).alias("sample"))
         rows = groups.join(sample, ["document_no", "amount"])

@@ -25,7 +25,7 @@ _DUP = "SELECT event_type AS document_no, CAST(value AS DECIMAL(18,2)) AS amount
 
 
 @query("agg_02_duplicate_references", f"""WITH d AS ({_DUP}) SELECT document_no, amount, count(*) AS postings, CAST((count(*) - 1) * abs(amount) AS DECIMAL(18,2)) AS exposure FROM d GROUP BY 1, 2
-    HAVING count(*) >= 2 ORDER BY exposure DESC, document_no, amount LIMIT 25""")
+    HAVING count(*) >= 2""")
 def _(t):
     rows = t.events.select(F.col("event_type").alias("document_no"), F.col("value").cast(CENTS).alias("amount"))
     return aggregates.duplicate_references(rows)
@@ -254,24 +254,24 @@ def _(t):
     return parts[0].union(parts[1]).union(parts[2]).distinct()
 
 
-@query("set_03_subset_test", """WITH a AS (SELECT user_id, list_distinct(list(event_type)) AS k FROM events WHERE value > 150 GROUP BY 1) SELECT user_id, len(list_filter(k, lambda x: x NOT IN ('view', 'click', 'purchase'))) = 0 AS inside FROM a""")
+@query("set_03_subset_test", """WITH a AS (SELECT user_id, list_distinct(list(event_type)) AS k FROM events GROUP BY 1) SELECT user_id, len(list_filter(k, lambda x: x NOT IN ('view', 'click', 'purchase'))) = 0 AS inside FROM a""")
 def _(t):
     from tallymark.operators.admission import subset
-    kinds = t.events.where("value > 150").groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
+    kinds = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
     return kinds.select("user_id", subset(F.col("k"), F.array(F.lit("view"), F.lit("click"), F.lit("purchase"))).alias("inside"))
 
 
-@query("set_04_core_conflicts", """WITH a AS (SELECT user_id, list_distinct(list(event_type)) AS k FROM events WHERE value > 150 GROUP BY 1) SELECT user_id, list_has_any(k, ['error', 'signup']) AS conflict FROM a""")
+@query("set_04_core_conflicts", """WITH a AS (SELECT user_id, list_distinct(list(event_type)) AS k FROM events GROUP BY 1) SELECT user_id, list_has_any(k, ['error', 'signup']) AS conflict FROM a""")
 def _(t):
-    kinds = t.events.where("value > 150").groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
+    kinds = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
     return kinds.select("user_id", F.arrays_overlap("k", F.array(F.lit("error"), F.lit("signup"))).alias("conflict"))
 
 
-@query("set_05_split_citations", """WITH a AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS k FROM events WHERE value > 150 GROUP BY 1)
+@query("set_05_split_citations", """WITH a AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS k FROM events GROUP BY 1)
     SELECT user_id, array_to_string(list_filter(k, lambda x: x IN ('view', 'click')), ',') AS kept, array_to_string(list_filter(k, lambda x: x NOT IN ('view', 'click')), ',') AS removed FROM a""")
 def _(t):
     from tallymark.operators.citations import split_citations
-    kinds = t.events.where("value > 150").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("k"))
+    kinds = t.events.groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("k"))
     out = split_citations(kinds.withColumn("ok", F.array(F.lit("view"), F.lit("click"))), "k", "ok")
     return out.select("user_id", F.array_join("kept", ",").alias("kept"), F.array_join("removed", ",").alias("removed"))
 

@@ -62,7 +62,7 @@ def _(t):
 
 
 _ANOMALY = f"""WITH l AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN floor(value) * 1000 ELSE value END AS v FROM events), ledger AS (SELECT event_type AS document_no, CAST(v AS DECIMAL(18,2)) AS amount FROM l),
-    r AS (SELECT count(*) AS n, CAST(sum(abs(amount)) AS DECIMAL(18,2)) AS e FROM ledger WHERE abs(amount) >= 1000 AND amount % 10 = 0), d AS (SELECT document_no, amount, count(*) AS n, CAST((count(*) - 1) * abs(amount) AS DECIMAL(18,2)) AS e FROM ledger GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY 4 DESC, 1, 2 LIMIT 25),
+    r AS (SELECT count(*) AS n, CAST(sum(abs(amount)) AS DECIMAL(18,2)) AS e FROM ledger WHERE abs(amount) >= 1000 AND amount % 10 = 0), d AS (SELECT document_no, amount, count(*) AS n, CAST((count(*) - 1) * abs(amount) AS DECIMAL(18,2)) AS e FROM ledger GROUP BY 1, 2 HAVING count(*) >= 2),
     b AS (SELECT CAST(substr(regexp_replace(CAST(abs(amount) AS VARCHAR), '[^1-9]', '', 'g'), 1, 1) AS INTEGER) AS digit, count(*) AS n FROM ledger WHERE amount <> 0 GROUP BY 1), x(digit, p) AS (VALUES {", ".join(f"({k}, {p})" for k, p in V.BENFORD.items())}),
     w AS (SELECT x.digit FROM x LEFT JOIN b USING (digit) WHERE abs(coalesce(b.n, 0) / (SELECT sum(n) FROM b) - p) > 0.05)
     SELECT 'anomaly:round-number-postings' AS subject, n AS input_count, e AS exposure, 'HUMAN_REVIEW' AS verdict FROM r WHERE n > 0 UNION ALL SELECT 'anomaly:duplicate-reference:' || document_no || ':' || CAST(abs(amount) AS VARCHAR), n, e, 'HUMAN_REVIEW' FROM d
@@ -86,7 +86,11 @@ def all_findings(t):
     return library.run_controls(tables, PARAMS, controls)
 
 
-@query("set_06_union_of_findings")
+_PARTS = ("vendor_sod", _SOD + " SELECT exposure FROM f"), ("split_payment", _SPLIT), ("capitalisation", registry.oracles["ctl_03_capitalised_repairs"]), ("cutoff", registry.oracles["ctl_04_cutoff"]), ("anomaly_discovery", _ANOMALY)
+
+
+@query("set_06_union_of_findings", " UNION ALL ".join(
+    f"SELECT {V.CONTROL_ORDER.index(name) + 1}::BIGINT AS run_order, '{name}' AS control_id, count(*) AS findings, CAST(sum(exposure) AS DECIMAL(18,2)) AS exposure FROM ({sql}) GROUP BY ALL HAVING count(*) > 0" for name, sql in _PARTS))
 def _(t):
     out = library.in_run_order(all_findings(t).findings)
     return out.groupBy("run_order", "control_id").agg(F.count(F.lit(1)).alias("findings"), F.sum("exposure").cast(CENTS).alias("exposure"))
@@ -271,7 +275,7 @@ def _(t):
     return planned.groupBy("category", "step", "tool").agg(F.count(F.lit(1)).alias("hypotheses"))
 
 
-@query("inv_02_rank_hypotheses", f"""SELECT {_CATEGORY} AS category, count(*) AS findings, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS exposure, CASE o_orderkey % 5 WHEN 0 THEN 90 WHEN 1 THEN 60 WHEN 2 THEN 70 WHEN 3 THEN 80 ELSE 50 END AS priority FROM orders GROUP BY 1, 4 ORDER BY priority DESC LIMIT 5""")
+@query("inv_02_rank_hypotheses", f"""SELECT {_CATEGORY} AS category, count(*) AS findings, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS exposure, CASE o_orderkey % 5 WHEN 0 THEN 90 WHEN 1 THEN 60 WHEN 2 THEN 70 WHEN 3 THEN 80 ELSE 50 END AS priority FROM orders GROUP BY 1, 4""")
 def _(t):
     return investigation.rank_hypotheses(hypotheses(t).withColumnRenamed("category", "control_id"))
 

@@ -109,10 +109,10 @@ def _(t):
     return filters.has_verdict(t.orders.select("o_orderkey", verdict_of_order().alias("verdict")), "DISMISSED")
 
 
-@query("flt_14_covers_columns", """WITH c AS (SELECT user_id, list_distinct(list(event_type)) AS kinds FROM events WHERE value > 100 GROUP BY 1)
+@query("flt_14_covers_columns", """WITH c AS (SELECT user_id, list_distinct(list(event_type)) AS kinds FROM events GROUP BY 1)
     SELECT user_id FROM c WHERE list_contains(kinds, 'purchase') AND list_contains(kinds, 'view')""")
 def _(t):
-    seen = t.events.where("value > 100").groupBy("user_id").agg(F.collect_set("event_type").alias("kinds"))
+    seen = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("kinds"))
     return seen.where(filters.covers_columns(F.col("kinds"), ["purchase", "view"])).select("user_id")
 
 

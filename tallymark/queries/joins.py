@@ -20,9 +20,9 @@ def _(t):
     return out.select("vendor", "receipt_count", F.coalesce(F.array_join("first_receipts", ","), F.lit("")).alias("first_receipts"))
 
 
-@query("join_02_first_description", with_views("additions", tail="""SELECT asset_no, count(*) AS n, min(coalesce(p_name, posting_text)) AS description FROM additions LEFT JOIN (SELECT * FROM part WHERE p_partkey % 10 <> 0) ON asset_no = CAST(p_partkey AS VARCHAR) GROUP BY 1"""))
+@query("join_02_first_description", with_views("additions", tail="""SELECT asset_no, count(*) AS n, min(coalesce(p_name, posting_text)) AS description FROM additions LEFT JOIN part ON asset_no = CAST(p_partkey AS VARCHAR) GROUP BY 1"""))
 def _(t):
-    out = joins.with_first_description(t.additions, t.descriptions.where("row_no % 10 <> 0"))
+    out = joins.with_first_description(t.additions, t.descriptions)
     return out.groupBy("asset_no").agg(F.count(F.lit(1)).alias("n"), F.min("description").alias("description"))
 
 
@@ -164,9 +164,9 @@ def _(t):
     return joins.co_occurrence(t.texts, "text", "text_id", ("eau", "the", "er"), t.benchmark.select(F.col("text").alias("passage")), "passage")
 
 
-@query("join_19_vendor_mentions", "SELECT d.doc_id AS text_id, s.word AS vendor FROM documents d JOIN (SELECT DISTINCT lower(split_part(text, ' ', 2)) AS word FROM benchmark WHERE item_id < 10) s ON contains(lower(d.text), s.word) WHERE contains(lower(d.text), 'tion')")
+@query("join_19_vendor_mentions", "SELECT d.doc_id AS text_id, s.word AS vendor FROM documents d JOIN (SELECT DISTINCT lower(split_part(text, ' ', 2)) AS word FROM benchmark) s ON contains(lower(d.text), s.word) WHERE contains(lower(d.text), 'tion')")
 def _(t):
-    words = t.benchmark.where("item_id < 10").select(F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("vendor")).distinct()
+    words = t.benchmark.select(F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("vendor")).distinct()
     return joins.co_occurrence(t.texts.withColumn("text", F.lower("text")), "text", "text_id", ("tion",), words, "vendor")
 
 

@@ -420,7 +420,7 @@ def _(t):
     return collapse_receipts(rows).groupBy("vendor").agg(F.count(F.lit(1)).alias("receipts"))
 
 
-@query("ctl_status_totals")
+@query("ctl_status_totals", " UNION ALL ".join(f"SELECT '{name}' AS control_id, status, count(*) AS outcomes, CAST(sum(exposure) AS DECIMAL(18,2)) AS exposure FROM ({sql}) GROUP BY ALL" for name, sql in (("capital_expenditure_classification", _CAPEX_SQL), ("vendor_integrity_and_segregation_of_duties", _VENDOR_SQL))))
 def _(t):
     """Statuses of two record controls side by side, as the admission input."""
     capex = CapitalExpenditure().evaluate(capex_tables(t), CAPEX_PARAMETERS).select("control_id", "status", "exposure")
