@@ -62,6 +62,35 @@ def _(t):
     return delimited.pad_fields(_lines(t), ["beleg", "text", "betrag"], ";").select("row", "beleg", "text", "betrag")
 
 
+_QUOTED = """SELECT CAST(o_orderkey AS VARCHAR) AS beleg, o_orderpriority || chr(10) || '"x"; ' || o_orderstatus AS text, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS betrag FROM orders"""
+
+
+def _written(t, header: bool) -> str:
+    """Delimited files of all orders with quoted line breaks and quotes, in the shared folder."""
+    from tallymark.session import shared_folder
+    field = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    text = F.concat("o_orderpriority", F.lit('\n"x"; '), "o_orderstatus")
+    folder = shared_folder(t.spark)
+    rows = t.orders.select(F.concat_ws(";", F.col("o_orderkey").cast("string"), field(text), F.col("o_totalprice").cast(CENTS).cast("string")).alias("value"))
+    if header:  # one file whose first record is the header, which also holds a line break
+        rows = t.spark.range(1).select(F.lit('Beleg;"Langer\nText";Betrag').alias("value")).unionByName(rows).coalesce(1)
+    rows.write.text(folder)
+    return folder
+
+
+@query("src_04_quoted_scan", f"SELECT beleg, text, betrag FROM ({_QUOTED})")
+def _(t):
+    folder = _written(t, header=False)
+    return delimited.read_declared(t.spark, folder, folder, ["beleg", "text", "betrag"])[0].select("beleg", "text", "betrag")
+
+
+@query("src_05_quoted_scan", f"SELECT beleg, text, betrag FROM ({_QUOTED})")
+def _(t):
+    folder = _written(t, header=True)
+    found = delimited.read_with_header(t.spark, folder, folder)
+    return found.select(F.col("Beleg").alias("beleg"), F.col("`Langer\nText`").alias("text"), F.col("Betrag").alias("betrag"))
+
+
 def _cells(t):
     """Sheets of orders: a title, a header with a blank and a repeat, then the records."""
     sheet = (F.col("o_orderkey") % 40).cast("string").alias("sheet")

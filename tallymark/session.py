@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,13 +35,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through the checkpoint folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh path in the folder that the cluster names for checkpoints, which all executors share."""
+    context = spark.sparkContext
+    _ensure_checkpoints(spark)
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local master without one gets a
-    fresh folder of its own, since there the driver and the executors share one disk.
-    """
-    spark = df.sparkSession
+
+def _ensure_checkpoints(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
@@ -49,4 +51,13 @@ def materialize(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-", dir=os.environ.get("TMPDIR"))
         context.setCheckpointDir(folder)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage through the checkpoint folder the cluster names.
+
+    The folder comes from ``spark.checkpoint.dir``. Only a local master without one gets a
+    fresh folder of its own, since there the driver and the executors share one disk.
+    """
+    _ensure_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)

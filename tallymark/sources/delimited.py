@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,32 +16,108 @@ from tallymark.sources.inventory import relative_path
 _CORRUPT = "_corrupt"
 
 
-def numbered_lines(spark: SparkSession, paths: str | Sequence[str], root: str, encoding: str = "UTF-8", drop_blank: str | None = None) -> DataFrame:
-    """(source_path, line_no, line) without sorting a file in one task.
-
-    Lines are counted per input split; a prefix sum over the splits of a file, which is tiny, turns
-    the index inside a split into the line number. ``drop_blank`` is a delimiter: lines without any
-    text between delimiters are then dropped before numbering.
-    """
-    raw = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
+def _lines(spark: SparkSession, paths: str | Sequence[str], encoding: str) -> DataFrame:
+    """Physical lines with their file, input split and place in it; any byte-order mark and carriage return are off."""
+    reader, name = spark.read, encoding.upper().replace("_", "-")
+    if name.startswith("UTF-16"):
+        name = "UTF-16BE" if name.endswith("BE") else "UTF-16LE"
+        reader = reader.option("encoding", name).option("lineSep", "\n")  # cuts at the two bytes of a line feed
+    raw = reader.text(paths if isinstance(paths, str) else list(paths)).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
-    # The reader keeps raw bytes, so other single-byte encodings are decoded afterwards.
-    line = F.col("value") if encoding.upper().startswith("UTF-8") else F.decode(F.col("value").cast("binary"), encoding)
-    lines = raw.withColumn("line", F.regexp_replace(line, "^\\uFEFF", "")).drop("value")
-    if drop_blank is not None:
-        lines = lines.where(F.regexp_replace("line", f'[\\s"{drop_blank}]', "") != "")
+    # The reader keeps raw bytes, so other encodings are decoded afterwards.
+    line = F.col("value") if name.startswith("UTF-8") else F.decode(F.col("value").cast("binary"), name)
+    return raw.withColumn("line", F.regexp_replace(line, "^\\uFEFF|\\r$", "")).drop("value")
+
+
+def _numbered(lines: DataFrame, name: str) -> DataFrame:
+    """Number rows per file in order: counted per input split, with a prefix sum over the few splits."""
     counts = lines.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_file", "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_file", "_start").orderBy("_at")
-    return lines.withColumn("_index", F.row_number().over(inside)).join(offsets, ["_file", "_start"]).select(
-        relative_path(F.col("_file"), root).alias("source_path"), (F.col("_before") + F.col("_index")).cast("long").alias("line_no"), "line")
+    return lines.withColumn("_index", F.row_number().over(inside)).join(offsets, ["_file", "_start"]).withColumn(
+        name, (F.col("_before") + F.col("_index")).cast("long")).drop("_before", "_index")
+
+
+def numbered_lines(spark: SparkSession, paths: str | Sequence[str], root: str, encoding: str = "UTF-8", drop_blank: str | None = None) -> DataFrame:
+    """(source_path, line_no, line) without sorting a file in one task.
+
+    ``drop_blank`` is a delimiter: lines without any text between delimiters are then dropped before
+    numbering.
+    """
+    lines = _lines(spark, paths, encoding)
+    if drop_blank is not None:
+        lines = lines.where(_has_text(drop_blank))
+    return _numbered(lines, "line_no").select(relative_path(F.col("_file"), root).alias("source_path"), "line_no", "line")
+
+
+def _has_text(delimiter: str) -> Column:
+    return F.regexp_replace("line", f'[\\s"{delimiter}]', "") != ""
+
+
+def _left_open(delimiter: str, begins_open: bool) -> Column:
+    """Whether a quoted field is still open where the line ends. A quote opens a field only at the
+    field's start; inside, two quotes are one."""
+    outside, opened, closed, first = (F.lit(n) for n in (0, 1, 2, 3))
+    pieces = F.split("line", '"')
+
+    def at_quote(state: Column, before: Column) -> Column:
+        starts = F.endswith(before, F.lit(delimiter))
+        again = (before == "") & ((state == closed) | (state == first))
+        return F.when(state == opened, closed).when(starts | again, opened).otherwise(outside)
+
+    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), opened if begins_open else first, at_quote) == opened
+
+
+def records(spark: SparkSession, paths: str | Sequence[str], root: str, delimiter: str, encoding: str = "UTF-8") -> DataFrame:
+    """(source_path, line_no, record_no, line): lines joined where a quoted field holds a line break.
+
+    ``line_no`` is the record's first physical line; ``record_no`` counts records with any text. What
+    a line does to "a quoted field is open" is one of four functions (set, clear, keep, switch). They
+    are composed along each input split, then over the few splits of a file, so no file is read in
+    one task. Only records of several lines are gathered.
+    """
+    split = Window.partitionBy("_file", "_start").orderBy("_at")
+    upto = split.rowsBetween(Window.unboundedPreceding, 0)
+    lines = _numbered(_lines(spark, paths, encoding), "line_no")
+    fixed, switch = F.col("_out") == F.col("_in"), F.col("_out") & ~F.col("_in")
+    turned = (
+        lines.withColumns({"_out": _left_open(delimiter, False), "_in": _left_open(delimiter, True)})
+        .withColumn("_turns", F.sum(switch.cast("long")).over(upto))
+        .withColumn("_set", F.last(F.when(fixed, F.struct(F.col("_out").alias("open"), F.col("_turns").alias("turns"))), ignorenulls=True).over(upto))
+    )
+    odd = lambda n: n % 2 == 1
+    # So far in its split: whether the state is known, and the state or whether it was switched.
+    turned = turned.withColumn("_does", F.struct(F.col("_set").isNotNull().alias("known"), F.coalesce(
+        F.col("_set.open") != odd(F.col("_turns") - F.col("_set.turns")), odd(F.col("_turns"))).alias("value")))
+    whole = turned.groupBy("_file", "_start").agg(F.max_by("_does", "_at").alias("d"))
+    earlier = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, 0)
+    parity = whole.withColumn("t", F.sum((~F.col("d.known") & F.col("d.value")).cast("long")).over(here))
+    begins = parity.withColumns({
+        "s": F.last(F.when(F.col("d.known"), F.struct(F.col("d.value").alias("open"), F.col("t").alias("turns"))), ignorenulls=True).over(earlier),
+        "before": F.coalesce(F.max("t").over(earlier), F.lit(0))})
+    begins = begins.select("_file", "_start", F.coalesce(F.col("s.open") != odd(F.col("before") - F.col("s.turns")), odd(F.col("before"))).alias("_begins"))
+    prior = F.lag("_does").over(split)
+    placed = turned.withColumn("_prior", prior).join(begins, ["_file", "_start"]).withColumn(
+        "_continues", F.when(F.col("_prior").isNull(), F.col("_begins")).when(F.col("_prior.known"), F.col("_prior.value")).otherwise(F.col("_begins") != F.col("_prior.value")))
+    placed = placed.withColumn("_head", F.last(F.when(~F.col("_continues"), F.struct("line_no", "_start", "_at")), ignorenulls=True).over(upto))
+    heads = placed.groupBy("_file", "_start").agg(F.max_by("_head", "_at").alias("h"))
+    carried = heads.select("_file", "_start", F.last("h", ignorenulls=True).over(earlier).alias("_carried"))
+    keyed = placed.join(carried, ["_file", "_start"]).withColumn("_head", F.coalesce("_head", "_carried")).withColumn(
+        "_alone", ~F.col("_continues") & ~F.coalesce(F.lead("_continues").over(split), F.lit(True)))
+    alone = keyed.where("_alone").select("_file", "_start", "_at", "line_no", "line")
+    joined = keyed.where(~F.col("_alone")).groupBy("_file", "_head").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    joined = joined.select("_file", F.col("_head._start").alias("_start"), F.col("_head._at").alias("_at"), F.col("_head.line_no").alias("line_no"),
+                           F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("line"))
+    return _numbered(alone.unionByName(joined).where(_has_text(delimiter)), "record_no").select(
+        relative_path(F.col("_file"), root).alias("source_path"), "line_no", "record_no", "line")
 
 
 def _parsed(lines: DataFrame, columns: Sequence[str], delimiter: str) -> DataFrame:
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))] + [T.StructField(_CORRUPT, T.StringType())])
     options = {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "quote": '"', "escape": '"',
-               "nullValue": "\u0000", "emptyValue": "", "maxCharsPerColumn": "-1"}
+               "nullValue": "\u0000", "emptyValue": "", "maxCharsPerColumn": "-1", "maxColumns": "100000"}
     return lines.withColumn("_row", F.from_csv("line", schema.simpleString()[7:-1].replace(":", " "), options))
 
 
@@ -58,7 +135,7 @@ def split_fields(lines: DataFrame, columns: Sequence[str], delimiter: str) -> tu
 def read_declared(spark: SparkSession, paths: str | Sequence[str], root: str, columns: Sequence[str], delimiter: str = ";",
                   encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of files without header under a declared column list."""
-    return split_fields(numbered_lines(spark, paths, root, encoding).where("line <> ''"), columns, delimiter)
+    return split_fields(records(spark, paths, root, delimiter, encoding).drop("record_no"), columns, delimiter)
 
 
 def pad_fields(lines: DataFrame, header: Sequence[str], delimiter: str) -> DataFrame:
@@ -73,18 +150,14 @@ def sniff_delimiter(head: str) -> str:
 
 
 def read_with_header(spark: SparkSession, path: str, root: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV whose first non-blank line is the header. Blank lines are dropped before numbering; short
-    rows are padded with empty text and long rows cut. Only the head of the file reaches the driver."""
-    head = [r["line"] for r in numbered_head(spark, path, encoding)]
-    delimiter = sniff_delimiter("\n".join(head))
-    lines = numbered_lines(spark, path, root, encoding, drop_blank=delimiter)
-    first = next((h for h in head if h.replace(delimiter, "").replace('"', "").strip()), None)
+    """A CSV whose first record with text is the header. Blank records are dropped before numbering;
+    short rows are padded with empty text and long rows cut. Only the header record and the head that
+    shows the delimiter reach the driver."""
+    head = _lines(spark, path, encoding).limit(200).select(F.left("line", F.lit(4096)).alias("line")).collect()
+    delimiter = sniff_delimiter("\n".join(r["line"] for r in head))
+    rows = records(spark, path, root, delimiter, encoding)
+    first = rows.where("record_no = 1").select("line").first()
     if first is None:
         raise ValueError(f"empty CSV: {path}")
-    header = [h.strip() for h in next(csv.reader([first], delimiter=delimiter))]
-    return pad_fields(lines.where("line_no > 1"), header, delimiter)
-
-
-def numbered_head(spark: SparkSession, path: str, encoding: str, lines: int = 200) -> list:
-    value = F.col("value") if encoding.upper().startswith("UTF-8") else F.decode(F.col("value").cast("binary"), encoding)
-    return spark.read.text(path).limit(lines).select(F.left(F.regexp_replace(value, "^\\uFEFF", ""), F.lit(4096)).alias("line")).collect()
+    header = [h.strip() for h in next(csv.reader(io.StringIO(first["line"], newline=""), delimiter=delimiter))]
+    return pad_fields(rows.where("record_no > 1").drop("line_no").withColumnRenamed("record_no", "line_no"), header, delimiter)

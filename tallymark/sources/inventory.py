@@ -29,7 +29,10 @@ def detected_encoding(content: Column, declared: Column | None = None) -> Column
 
 def relative_path(path: Column, root: str) -> Column:
     """Path below the root; the scanned path carries a scheme and may be percent-encoded."""
-    marker = Path(root).resolve().as_posix().rstrip("/") + "/"
+    scheme, _, rest = root.partition(":")
+    # A root in a store is matched by what follows its scheme; a plain path is one of this machine.
+    inside = rest.lstrip("/") if rest and len(scheme) > 1 and scheme.isalnum() else Path(root).resolve().as_posix()
+    marker = inside.rstrip("/") + "/"
     return F.substring_index(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), marker, -1)
 
 

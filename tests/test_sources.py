@@ -133,3 +133,37 @@ def test_runs_and_replacement(spark, tmp_path, loaded):
     assert {r["source_path"]: r["count"] for r in spark.read.parquet(target).groupBy("source_path").count().collect()} == {"a": 5, "b": 2}
     with pytest.raises(ValueError):
         sinks.replace_source(rows("a", 4), target, expected)
+
+
+def test_quoted_breaks_over_splits_follow_a_plain_reader(spark, tmp_path):
+    import csv
+    import io
+    import random
+    r = random.Random(2)
+    cell = lambda: r.choice(["", "a", 'say ""x""', "two\nlines", "semi;colon", "\n\n", '5 inch', "tail\n"])
+    text = "".join(";".join(f'"{c}"' if any(x in c for x in '\n;"') or r.random() < 0.3 else c for c in (str(i), cell(), cell())) + "\n" for i in range(1500))
+    text = text.replace("7;a;", '7;5" pipe;')
+    (tmp_path / "q.txt").write_text(text)
+    reader, want, line = csv.reader(io.StringIO(text, newline=""), delimiter=";"), [], 0
+    for values in reader:
+        if any(v.strip() for v in values):
+            want.append((line + 1, *values))
+        line = reader.line_num
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        rows, rejects = delimited.read_declared(spark, str(tmp_path / "q.txt"), str(tmp_path), ["a", "b", "c"])
+        assert spark.read.text(str(tmp_path / "q.txt")).select("_metadata.file_block_start").distinct().count() > 3
+        assert sorted(tuple(x) for x in rows.select("row", "a", "b", "c").collect()) == want and rejects.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("encoding", ["UTF-16LE", "UTF-16BE"])
+def test_wide_header_and_utf16(spark, tmp_path, encoding):
+    names = [f"column_{i}_é" for i in range(600)]
+    lines = [""] * 210 + [";".join(names), ";".join(str(i) for i in range(600)), 'x;"two\nlines"']
+    (tmp_path / "w.csv").write_bytes(("﻿" + "\r\n".join(lines) + "\r\n").encode(encoding))
+    df = delimited.read_with_header(spark, str(tmp_path / "w.csv"), str(tmp_path), encoding)
+    assert df.columns[2:] == names
+    rows = sorted(df.collect(), key=lambda x: x["row"])
+    assert [x["row"] for x in rows] == [2, 3] and rows[0]["column_599_é"] == "599" and rows[1]["column_1_é"] == "two\nlines" and rows[1]["column_2_é"] == ""
