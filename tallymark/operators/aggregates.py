@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from tallymark import vocabulary as V
 from tallymark.functions.money import CENTS, first_digit
 from tallymark.operators import filters
-from tallymark.operators.ordering import place_descending, top_n
+from tallymark.operators.ordering import top_n, value_places, with_places
 
 
 def cents_sum(value: Column) -> Column:
@@ -192,14 +194,18 @@ def peer_comparison(exposures: DataFrame, id_column: str = "account", value: str
     """Rank of every subject by exposure and the exact median of its peers' positive exposures.
 
     The median of all others only ever needs the few middle values of the sorted population, so
-    those are looked up once by position and each row picks from them. The rows are ordered once.
+    those are looked up once by position and each row picks from them. Only distinct exposures are
+    ordered; all rows of one exposure share its place.
     """
-    placed, n = place_descending(exposures, value, F.col(value) > 0)
-    # positions count from the largest; the k-th smallest positive value sits at n - 1 - k
+    places = value_places(exposures, value)
+    n = places.where(F.col("value") > 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # places count from the largest; the k-th smallest positive value sits at n - 1 - k
     middle = sorted({i for i in ((n - 1) // 2 - 1, (n - 1) // 2, (n - 1) // 2 + 1, n // 2 - 1, n // 2) if 0 <= i < n})
-    position = F.lit(n - 1) - F.col("position")
-    looked_up = placed.where(position.isin(middle)).select(position.alias("p"), value).collect() if middle else []  # at most five rows
-    at = {r["p"]: r[value] for r in looked_up}
+    last = F.lit(n - 1) - F.col("before")
+    holds = [(last >= k) & (last - F.col("n") < k) for k in middle]
+    looked_up = places.where(reduce(or_, holds)).select(last.alias("last"), "n", "value").collect() if middle else []  # at most five rows
+    at = {k: r["value"] for k in middle for r in looked_up if r["last"] - r["n"] < k <= r["last"]}
+    placed, position = with_places(exposures, value, places), last
 
     def median_without(own: int | None) -> Decimal:
         size = n if own is None else n - 1
@@ -218,4 +224,4 @@ def peer_comparison(exposures: DataFrame, id_column: str = "account", value: str
     charged = F.col(value) > 0
     return placed.select(
         id_column, value, F.when(charged, F.lit(n - 1)).otherwise(F.lit(n)).cast("long").alias("peer_count"),
-        F.when(charged, median).otherwise(F.lit(median_without(None)).cast(shape)).alias("peer_median_exposure"), "rank")
+        F.when(charged, median).otherwise(F.lit(median_without(None)).cast(shape)).alias("peer_median_exposure"), (F.col("before") + 1).cast("long").alias("rank"))

@@ -77,29 +77,28 @@ def running_last(sliced: DataFrame, keys: Sequence[str], order: Sequence[Column
                          *[F.coalesce(F.col(f"l.{n}"), F.col(f"o._off_{n}")).alias(n) for n in values])
 
 
-def place_descending(df: DataFrame, value: str, counted: Column | None = None, slices: int | None = None) -> tuple[DataFrame, int]:
-    """Rows with their SQL ``rank`` and zero-based ``position``, largest first, and a count of rows.
+def value_places(df: DataFrame, value: str, slices: int | None = None) -> DataFrame:
+    """(value, n, before): every distinct value, its rows, and how many rows have a larger one (null last).
 
-    Equal values share a slice, so ties share a rank. Only one number per slice reaches the driver.
+    Only distinct values are ordered, so however many rows are tied, no slice holds more than its
+    share. Written, so that a join with it can split the rows of a common value.
     """
-    order = F.col(value).desc()
-    sliced = slice_ordered(df, [], [order], slices)
-    test = counted if counted is not None else F.lit(True)
-    sizes = sorted(sliced.groupBy(SLICE).agg(F.count(F.lit(1)), F.count(F.when(test, F.lit(1)))).collect())
-    before, offsets = 0, {}
-    for number, size, _ in sizes:
-        offsets[number] = before
-        before += size
-    start = F.element_at(F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair]), F.col(SLICE)) if offsets else F.lit(0)
-    inside = Window.partitionBy(SLICE).orderBy(order)
-    placed = sliced.withColumns({
-        "rank": (start + F.rank().over(inside)).cast("long"), "position": (start + F.row_number().over(inside) - 1).cast("long")})
-    return placed.drop(SLICE), sum(n for _, _, n in sizes)
+    order = [F.col(value).desc_nulls_last()]
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    placed = running_totals(slice_ordered(counts, [], order, slices), [], order, {"before": F.col("n")})
+    return materialize(placed.select(F.col(value).alias("value"), "n", "before"))
+
+
+def with_places(df: DataFrame, value: str, places: DataFrame) -> DataFrame:
+    """Rows with the places of their value."""
+    return df.join(places, F.col(value).eqNullSafe(places["value"])).drop(places["value"]) if value != "value" else \
+        df.join(places.withColumnRenamed("value", "_value"), F.col("value").eqNullSafe(F.col("_value"))).drop("_value")
 
 
 def global_rank(df: DataFrame, value: str, name: str = "rank", slices: int | None = None) -> DataFrame:
     """SQL rank over the whole table, largest first."""
-    return place_descending(df, value, slices=slices)[0].drop("position").withColumnRenamed("rank", name)
+    placed = with_places(df, value, value_places(df, value, slices))
+    return placed.select(*df.columns, (F.col("before") + 1).cast("long").alias(name))
 
 
 def global_position(df: DataFrame, order: Sequence[Column | str], name: str = "position",

@@ -130,3 +130,19 @@ def test_running_totals_cross_slices(spark):
     assert sorted(r["position"] for r in global_position(df, ["k", "i"]).collect()) == list(range(300))
     ranked = {r["i"]: r["rank"] for r in global_rank(df, "v").collect()}
     assert ranked[6] == 1 and ranked[0] == 1 + sum(1 for _, _, v in rows if v > 0)
+
+
+def test_tied_values_spread_over_slices(spark):
+    from tallymark.operators.aggregates import peer_comparison
+    rows = [(i, 0.0) for i in range(3000)] + [(5000 + i, float(i % 40 + 1)) for i in range(90)]
+    df = spark.createDataFrame(rows, "account int, exposure double").withColumn("exposure", F.col("exposure").cast("decimal(18,2)"))
+    found = {r["account"]: r for r in peer_comparison(df).collect()}
+    values = sorted((v for _, v in rows), reverse=True)
+    positive = sorted(v for v in values if v > 0)
+    for account, v in rows[::97] + rows[-90:]:
+        others = positive[:]
+        if v > 0:
+            others.remove(v)
+        m = len(others) // 2
+        median = others[m] if len(others) % 2 else (others[m - 1] + others[m]) / 2
+        assert found[account]["rank"] == values.index(v) + 1 and float(found[account]["peer_median_exposure"]) == median and found[account]["peer_count"] == len(others)
