@@ -142,6 +142,15 @@ def co_occurrence(texts: DataFrame, text: str, text_id: str, words: Iterable[str
     return substring_pairs(texts.where(contains_any(F.col(text), words)), text, text_id, subjects, subject)
 
 
+def lineage(fields: DataFrame, records: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Every field with the record and the sheet it comes from.
+
+    ``fields``: record_id and the field's columns; ``records``: record_id, sheet_id, row; ``sheets``:
+    sheet_id, source_path, sheet. A field whose record or sheet is missing stays, with nulls there.
+    """
+    return fields.join(records, "record_id", "left").join(sheets, "sheet_id", "left")
+
+
 def resolve_evidence(ids: DataFrame, evidence: DataFrame) -> DataFrame:
     """Look up cited ids; an unknown id stays as a row with ok = false."""
     marked = evidence.withColumn("_known", F.lit(True))

@@ -107,6 +107,40 @@ def contract_or_service_evidence(vendors: DataFrame, receipts: DataFrame, texts:
     return joined.withColumn("found", (F.col("receipt_count") > 0) | (F.col("contract_mentions") > 0))
 
 
+def citations(rows: DataFrame, subject: str, evidence: str = "evidence_id") -> DataFrame:
+    """(subject, evidence_id): every row that an answer about a subject rests on, each once."""
+    return rows.where(F.col(evidence).isNotNull()).select(F.col(subject).alias("subject"), F.col(evidence).alias("evidence_id")).distinct()
+
+
+def leg_citations(ledger: DataFrame) -> DataFrame:
+    """Rows behind the reconciled legs: (subject, leg, evidence_id)."""
+    legs = ledger.where("amount <> 0").withColumn("leg", F.when(F.col("amount") < 0, "invoice").otherwise("payment"))
+    return legs.select(F.col("account").alias("subject"), "leg", "evidence_id").distinct()
+
+
+def receipt_citations(vendors: DataFrame, receipts: DataFrame, vendor: str = "vendor") -> DataFrame:
+    return citations(receipts.join(vendors.select(vendor).distinct(), vendor, "left_semi"), vendor)
+
+
+def permission_citations(rights: DataFrame, user: str, row: str, source: str) -> DataFrame:
+    """Rows of the rights table that speak of each user."""
+    return citations(rights.withColumn("evidence_id", registry_id(F.lit(source), F.col(user), row=F.col(row))), user)
+
+
+def peer_citations(postings: DataFrame) -> DataFrame:
+    """Charged postings behind each account's exposure."""
+    return citations(postings.where(filters.invoice_leg(F.col("posting_text"), F.col("amount"))), "account")
+
+
+def contract_citations(vendors: DataFrame, receipts: DataFrame, texts: DataFrame, words: Iterable[str] = V.CONTRACT_WORDS) -> DataFrame:
+    """Receipts of each vendor, and texts that name the vendor beside a contract word: (subject, kind, evidence_id)."""
+    folded = texts.withColumn("text", F.lower("text"))
+    low = vendors.select("vendor", F.lower(F.col("vendor").cast("string")).alias("_low")).distinct()
+    named = co_occurrence(folded, "text", "text_id", words, low, "_low").join(low, "_low")
+    found = named.select(F.col("vendor").alias("subject"), F.lit("text").alias("kind"), F.col("text_id").cast("string").alias("evidence_id")).distinct()
+    return receipt_citations(vendors, receipts).select("subject", F.lit("receipt").alias("kind"), "evidence_id").unionByName(found)
+
+
 def compare_peers(postings: DataFrame) -> DataFrame:
     return aggregates.peer_comparison(aggregates.vendor_exposure(postings))
 

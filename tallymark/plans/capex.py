@@ -53,6 +53,14 @@ def collapse_business_records(df: DataFrame, key: list[str], content: list[str])
     return df.groupBy(*dict.fromkeys([*key, *content])).agg(F.min("record_id").alias("record_id"), F.min("evidence_id").alias("evidence_id"))
 
 
+def representations(postings: DataFrame, invoices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the ledger and the invoices say of each addition: (gl_total and asset_debit, invoice_total)."""
+    posted = postings.groupBy("addition_id").agg(
+        F.sum("amount").cast(CENTS).alias("gl_total"),
+        F.max(((F.col("account_classification") == "asset") & (F.col("amount") > 0)).cast("int")).alias("asset_debit"))
+    return posted, invoices.groupBy("addition_id").agg(F.sum("net_amount").cast(CENTS).alias("invoice_total"))
+
+
 class CapitalExpenditure:
     """Tables: additions, postings, invoices, assets, support."""
 
@@ -109,10 +117,7 @@ class CapitalExpenditure:
             agg for k in KINDS for agg in (
                 F.max(((F.col("kind") == k) & F.col("present")).cast("int")).alias(f"yes_{k}"),
                 F.max(((F.col("kind") == k) & ~F.col("present")).cast("int")).alias(f"no_{k}"))])
-        posted = t["postings"].groupBy("addition_id").agg(
-            F.sum("amount").cast(CENTS).alias("gl_total"),
-            F.max(((F.col("account_classification") == "asset") & (F.col("amount") > 0)).cast("int")).alias("asset_debit"))
-        invoiced = t["invoices"].groupBy("addition_id").agg(F.sum("net_amount").cast(CENTS).alias("invoice_total"))
+        posted, invoiced = representations(t["postings"], t["invoices"])
         reversed_ = self.reversals(additions, t["postings"])
         wide = additions.join(assets, "asset_id", "left")
         for part in (linked, support, posted, invoiced, reversed_):

@@ -65,6 +65,19 @@ def ranked_links(invoices: DataFrame, candidates: DataFrame, hierarchy: Sequence
     return reduce(DataFrame.unionByName, parts).groupBy("consumer", "seq", "resource").agg(F.min("rank").alias("rank"))
 
 
+def generic_counts(invoices: DataFrame, generic: DataFrame, links: DataFrame) -> DataFrame:
+    """(consumer, generic_records): generic records of the invoice's vendor, and linked ones of other vendors.
+
+    A vendor's records are counted once and joined as a number, so no invoice is paired with each of
+    its vendor's records. ``links`` holds distinct (consumer, resource) pairs that name each other.
+    """
+    per_vendor = materialize(generic.where("vendor_id is not null").groupBy("vendor_id").agg(F.count(F.lit(1)).alias("_own")))
+    own = invoices.select("consumer", "vendor_id").join(per_vendor, "vendor_id").select("consumer", F.col("_own").alias("_n"))
+    ours, theirs = invoices.select("consumer", F.col("vendor_id").alias("_ours")), generic.select("resource", F.col("vendor_id").alias("_theirs"))
+    named = links.join(ours, "consumer").join(theirs, "resource").where(~F.coalesce(F.col("_ours") == F.col("_theirs"), F.lit(False)))
+    return own.unionByName(named.groupBy("consumer").agg(F.count(F.lit(1)).alias("_n"))).groupBy("consumer").agg(F.sum("_n").alias("generic_records"))
+
+
 def collapse_receipts(receipts: DataFrame) -> DataFrame:
     """Receipts of one identity, day and status are one receipt, the smallest record id's.
 
@@ -108,9 +121,7 @@ class YearEndCutoff:
         unclear = ~F.col("accounting_period_known") | F.col("posting_date").isNull()
         doubtful = linked.where(~F.col("generic") & unclear).groupBy("consumer").agg(F.count(F.lit(1)).alias("doubtful_closing"), F.min("resource").alias("doubtful_record"))
         generic_rows = closing.where("generic")
-        generic_pairs = link(rows, generic_rows).select("consumer", "resource").unionByName(
-            rows.select("consumer", "vendor_id").join(generic_rows.select("resource", "vendor_id"), "vendor_id").select("consumer", "resource"))
-        generic = generic_pairs.distinct().groupBy("consumer").agg(F.count(F.lit(1)).alias("generic_records"))
+        generic = generic_counts(rows, generic_rows, link(rows, generic_rows).select("consumer", "resource").distinct())
         usable = linked.where(~F.col("generic") & ~unclear & filters.in_period(F.col("posting_date"), start, end))
         coverage = self.closing_coverage(usable.join(rows.select("consumer", "net_amount"), "consumer"), params).groupBy("consumer").agg(
             F.sum("covers").cast(CENTS).alias("covered"), F.count(F.lit(1)).alias("closing_records"))
@@ -166,7 +177,7 @@ class YearEndCutoff:
         refuted = refused | (c("exceptions") > 0) | (c("doubtful_closing") > 0) | (c("generic_records") > 0)
         closing = F.when((c("exposure") == 0) & (c("closing_coverage_net") > 0), "accounted_for").when(c("generic_records") > 0, "unresolved").otherwise("not_found")
         found = lambda test: F.when(F.coalesce(test, F.lit(False)), "accounted_for").otherwise("not_found")
-        return rows.orderBy("seq").select(
+        return rows.select(
             F.lit(self.control_id).alias("control_id"), F.lit(self.version).alias("control_version"), status.alias("status"),
             "invoice_id", c("invoice_id").alias("subject"), F.create_map(F.lit("invoice_id"), c("invoice_id")).alias("group_key"),
             parameter_map(params).alias("rule_parameters"), "exposure", "closing_coverage_net", "adjustment_net",

@@ -103,11 +103,13 @@ def _(t):
 @query("agg_13_representations", """SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS asset_amount, CAST(coalesce(gl, 0) AS DECIMAL(18,2)) AS gl_total, CAST(coalesce(inv, 0) AS DECIMAL(18,2)) AS invoice_total FROM orders LEFT JOIN
     (SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS gl, sum(CASE WHEN l_returnflag <> 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS inv FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def _(t):
-    price = F.col("l_extendedprice").cast(CENTS)
-    sums = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.sum(F.when(F.col("l_returnflag") == "R", price)).alias("gl"), F.sum(F.when(F.col("l_returnflag") != "R", price)).alias("inv"))
+    from tallymark.plans.capex import representations
+    lines = t.lineitem.select(F.col("l_orderkey").alias("addition_id"), "l_returnflag", F.col("l_extendedprice").cast(CENTS).alias("amount"))
+    posted, invoiced = representations(lines.where("l_returnflag = 'R'").withColumn("account_classification", F.lit("asset")), lines.where("l_returnflag <> 'R'").withColumnRenamed("amount", "net_amount"))
+    rows = t.orders.select(F.col("o_orderkey").alias("addition_id"), F.col("o_totalprice").cast(CENTS).alias("asset_amount"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast(CENTS)
-    return t.orders.join(sums, "o_orderkey", "left").select("o_orderkey", F.col("o_totalprice").cast(CENTS).alias("asset_amount"), zero("gl").alias("gl_total"), zero("inv").alias("invoice_total"))
+    return rows.join(posted, "addition_id", "left").join(invoiced, "addition_id", "left").select(
+        F.col("addition_id").alias("o_orderkey"), "asset_amount", zero("gl_total").alias("gl_total"), zero("invoice_total").alias("invoice_total"))
 
 
 @query("agg_14_prior_activity", "SELECT CAST(user_id AS VARCHAR) AS vendor_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS prior_count, count(*) AS history_records FROM events GROUP BY 1")
@@ -197,10 +199,10 @@ _CLUSTER = """WITH a AS (SELECT l_partkey AS asset, l_suppkey AS vendor, CAST(l_
 
 @query("win_04_repair_cluster", _CLUSTER)
 def _(t):
-    days = t.lineitem.groupBy(F.col("l_partkey").alias("asset"), F.col("l_suppkey").alias("vendor"), F.to_date("l_shipdate").alias("day")).agg(
-        F.sum((F.col("l_linestatus") == "F").cast("long")).alias("n"))
-    near = Window.partitionBy("asset", "vendor").orderBy(F.unix_date("day")).rangeBetween(-30, 30)
-    return days.withColumn("cluster_size", F.sum("n").over(near)).drop("n")
+    from tallymark.plans.capex import CapexParameters, CapitalExpenditure
+    wide = t.lineitem.select(F.col("l_partkey").alias("asset_id"), F.col("l_suppkey").alias("vendor_id"), F.to_date("l_shipdate").alias("addition_date"), (F.col("l_linestatus") == "F").alias("repair_like"))
+    near = CapitalExpenditure.with_clusters(wide, CapexParameters(cluster_window_days=30))
+    return near.select(F.col("asset_id").alias("asset"), F.col("vendor_id").alias("vendor"), F.col("addition_date").alias("day"), "cluster_size").distinct()
 
 
 @query("win_05_peer_rank", with_views("ledger", tail="SELECT account, total, rank() OVER (ORDER BY total DESC) AS rank FROM (SELECT account, CAST(sum(abs(amount)) AS DECIMAL(18,2)) AS total FROM ledger GROUP BY 1)"))

@@ -113,8 +113,10 @@ def _(t):
 
 @query("join_12_unclaimed_receipts", with_views("deliveries", tail="SELECT receipt_id FROM deliveries WHERE status = 'accepted' AND invoice_id NOT IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'O')"))
 def _(t):
-    claims = t.orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").cast("string").alias("invoice_id"))
-    return t.deliveries.where("status = 'accepted'").join(claims, "invoice_id", "left_anti").select("receipt_id")
+    from tallymark.plans.purchase_match import unclaimed_receipts
+    invoices = t.orders.where("o_orderstatus = 'O'").select(F.lit("v").alias("vendor_id"), F.col("o_orderkey").cast("string").alias("goods_receipt_reference"))
+    accepted = t.deliveries.where("status = 'accepted'").select("receipt_id", F.lit("v").alias("vendor_id"), F.col("invoice_id").alias("receipt_reference"), F.lit(None).cast("string").alias("invoice_reference"))
+    return unclaimed_receipts(invoices, accepted).select("receipt_id")
 
 
 @query("join_13_linked_orders", "SELECT 'I' || o_orderkey AS consumer, 'P' || o_orderkey AS resource FROM orders")
@@ -155,8 +157,11 @@ def _(t):
 
 @query("join_17_generic_links", "SELECT i.o_orderkey AS consumer, count(*) AS generic_records FROM orders i JOIN orders g ON i.o_custkey = g.o_custkey WHERE g.o_orderpriority = '5-LOW' GROUP BY 1")
 def _(t):
-    generic = t.orders.where("o_orderpriority = '5-LOW'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("generic_records"))
-    return t.orders.join(generic, "o_custkey").select(F.col("o_orderkey").alias("consumer"), "generic_records")
+    from tallymark.plans.yearend import generic_counts
+    invoices = t.orders.select(F.col("o_orderkey").alias("consumer"), F.col("o_custkey").alias("vendor_id"))
+    generic = t.orders.where("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("resource"), F.col("o_custkey").alias("vendor_id"))
+    named = generic.select(F.col("resource").alias("consumer"), "resource")  # every generic record names its own order, of the same vendor
+    return generic_counts(invoices, generic, named)
 
 
 @query("join_18_co_occurrence", "SELECT d.doc_id AS text_id, b.text AS passage FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE regexp_matches(lower(d.text), 'eau|the|er')")
@@ -186,10 +191,13 @@ def _(t):
     return rows.select("addition_id", F.coalesce("postings", F.lit(0)).cast("long").alias("postings"), F.coalesce("posted", F.lit(0)).cast(CENTS).alias("posted"), "asset_desc")
 
 
-@query("join_22_lineage", "SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 1) GROUP BY 1")
+@query("join_22_lineage", """SELECT l_orderkey AS record_id, l_linenumber AS field, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS value, o_custkey AS sheet_id, o_orderkey + 2 AS row, 'customer/' || c_custkey AS source_path, c_name AS sheet
+    FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey""")
 def _(t):
-    heads = t.conversations.where("turn = 1").select("conv_id").distinct()
-    return t.conversations.join(heads, "conv_id").groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.count_distinct("conv_id").alias("conversations"))
+    fields = t.lineitem.select(F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("field"), F.col("l_extendedprice").cast(CENTS).cast("string").alias("value"))
+    records = t.orders.select(F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("sheet_id"), (F.col("o_orderkey") + 2).alias("row"))
+    sheets = t.customer.select(F.col("c_custkey").alias("sheet_id"), F.concat(F.lit("customer/"), "c_custkey").alias("source_path"), F.col("c_name").alias("sheet"))
+    return joins.lineage(fields, records, sheets)
 
 
 @query("join_23_source_status", """SELECT url AS path, CASE WHEN page_id % 9 = 0 THEN 'xml' ELSE 'csv' END AS file_type, CASE WHEN page_id % 9 = 0 THEN 'skipped' WHEN page_id % 5 = 0 THEN 'warning' WHEN page_id % 2 = 0 THEN 'parsed' ELSE 'skipped' END AS status,

@@ -95,6 +95,39 @@ def _(t):
     return tools.receipt_total(t.receipts, cite=50)[1].select("goods_receipt_no", "vendor")
 
 
+@query("tool_04_history_citations", with_views("ledger", tail="SELECT DISTINCT account AS subject, evidence_id FROM ledger"))
+def _(t):
+    return tools.citations(t.ledger, "account")
+
+
+@query("tool_06_permission_citations", "SELECT DISTINCT 'U' || (n_nationkey % 7) AS subject, 'ev_' || substr(sha256('nation|r' || n_nationkey || '|sNone|cNone|pNone|' || 'U' || (n_nationkey % 7)), 1, 16) AS evidence_id FROM nation")
+def _(t):
+    rights = t.nation.select("n_nationkey", F.concat(F.lit("U"), F.col("n_nationkey") % 7).alias("user"))
+    return tools.permission_citations(rights, "user", "n_nationkey", "nation")
+
+
+@query("tool_07_leg_citations", with_views("ledger", tail="SELECT DISTINCT account AS subject, CASE WHEN amount < 0 THEN 'invoice' ELSE 'payment' END AS leg, evidence_id FROM ledger WHERE amount <> 0"))
+def _(t):
+    return tools.leg_citations(t.ledger)
+
+
+@query("tool_08_receipt_citations", with_views("receipts", "masters", tail="SELECT DISTINCT vendor AS subject, evidence_id FROM receipts WHERE vendor IN (SELECT account FROM masters)"))
+def _(t):
+    return tools.receipt_citations(t.masters.select(F.col("account").alias("vendor")), t.receipts)
+
+
+@query("tool_15_contract_citations", with_views("receipts", tail="""SELECT w.word AS subject, 'text' AS kind, CAST(d.doc_id AS VARCHAR) AS evidence_id FROM documents d JOIN (SELECT DISTINCT split_part(text, ' ', 3) AS word FROM benchmark) w ON contains(lower(d.text), lower(w.word)) WHERE contains(lower(d.text), 'tion')
+    UNION ALL SELECT DISTINCT vendor, 'receipt', evidence_id FROM receipts WHERE vendor IN (SELECT split_part(text, ' ', 3) FROM benchmark)"""))
+def _(t):
+    vendors = t.benchmark.select(F.split_part("text", F.lit(" "), F.lit(3)).alias("vendor")).distinct()
+    return tools.contract_citations(vendors, t.receipts, t.texts, words=("tion",))
+
+
+@query("tool_16_peer_citations", with_views("ledger", tail="SELECT DISTINCT account AS subject, evidence_id FROM ledger WHERE amount < 0 AND posting_text <> 'Saldenvortrag Vorjahr'"))
+def _(t):
+    return tools.peer_citations(t.ledger)
+
+
 def split_postings(t):
     return {"postings": t.ledger.withColumn("posting_date", F.col("posting_date").cast("string"))}
 
