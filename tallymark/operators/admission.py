@@ -169,21 +169,36 @@ def admit_findings(findings: DataFrame) -> DataFrame:
     return _decide(findings, reject, dismiss, review)
 
 
-def candidates_from_outcomes(outcomes: DataFrame, engagement_id: str, run_id: str) -> DataFrame:
+def candidates_from_outcomes(outcomes: DataFrame, engagement_id: str, run_id: str, evidence: DataFrame | None = None) -> DataFrame:
     """Bring record-control outcomes to the admission gate.
 
-    Needs ``subject``, ``exposure``, ``evidence_id``, ``counter_tests`` (name, status, description) and
-    ``uncertainty``. A counter-test that found nothing counts as unknown: no search record backs it.
+    Needs ``status``, ``subject``, ``exposure``, ``evidence_id``, ``counter_tests`` (name, status,
+    description) and ``uncertainty``. The control has weighed its counter-tests, so what they mean here
+    follows its status: a dismissed outcome is dismissed by the tests that accounted for it, or by the
+    control's own status if none did; an outcome that needs review stays uncertain; in a confirmed
+    one, an explanation that did not suffice is noted and dismisses nothing. A test that found nothing
+    was a search of the control's records. ``evidence`` (evidence_id, content) gives the content behind
+    the ids; an id it does not know leaves the chain incomplete. Without it the id stands for itself.
     """
-    status = {"accounted_for": "present", "unresolved": "unknown", "not_found": "unknown"}
-    mapping = F.create_map(*[F.lit(x) for pair in status.items() for x in pair])
-    one_id = F.array("evidence_id")
-    no_search = F.lit(None).cast("struct<scope:string,method:string,searched_sources:array<string>,evidence_ids:array<string>>")
-    tests = F.transform("counter_tests", lambda t: F.struct(
-        t["name"].alias("name"), mapping[t["status"]].alias("outcome"), t["description"].alias("detail"),
-        F.lit(True).alias("required"),
-        F.when(t["status"] == "accounted_for", one_id).otherwise(F.array().cast("array<string>")).alias("evidence_ids"),
-        no_search.alias("search")))
+    no_ids, one_id = F.array().cast("array<string>"), F.array("evidence_id")
+    dismissed = F.col("status") == "dismissed"
+    search = F.struct(F.col("subject").cast("string").alias("scope"), F.col("control_id").alias("method"), F.array("control_id").alias("searched_sources"), one_id.alias("evidence_ids"))
+    none = F.lit(None).cast("struct<scope:string,method:string,searched_sources:array<string>,evidence_ids:array<string>>")
+
+    def test(t: Column) -> Column:
+        explained, absent = t["status"] == "accounted_for", t["status"] == "not_found"
+        return F.struct(
+            t["name"].alias("name"), F.when(explained, "present").when(absent, "searched_absent").otherwise("unknown").alias("outcome"), t["description"].alias("detail"),
+            (dismissed | ~explained).alias("required"), F.when(absent | (explained & dismissed), one_id).otherwise(no_ids).alias("evidence_ids"), F.when(absent, search).otherwise(none).alias("search"))
+
+    own = F.struct(F.lit("control_status").alias("name"), F.lit("present").alias("outcome"), F.lit("the control dismissed the outcome").alias("detail"), F.lit(True).alias("required"), one_id.alias("evidence_ids"), none.alias("search"))
+    tests = F.transform("counter_tests", test)
+    tests = F.when(dismissed & ~F.exists("counter_tests", lambda t: t["status"] == "accounted_for"), F.concat(tests, F.array(own))).otherwise(tests)
+    content = F.sha2("evidence_id", 256)
+    if evidence is not None:
+        outcomes = outcomes.join(evidence.select("evidence_id", F.col("content").alias("_content")), "evidence_id", "left")
+        content = F.sha2("_content", 256)
+    refs = F.filter(F.array(F.struct(F.col("evidence_id"), content.alias("content"))), lambda r: r["content"].isNotNull())
     cents = "decimal(18,2)"
     return outcomes.select(
         F.lit(engagement_id).alias("engagement_id"), F.lit(run_id).alias("run_id"), "control_id", "control_version",
@@ -192,9 +207,9 @@ def candidates_from_outcomes(outcomes: DataFrame, engagement_id: str, run_id: st
             F.lit("exposure of the last calculation step").alias("expression"),
             F.array(F.struct(F.col("subject").alias("label"), F.col("exposure").cast(cents).alias("value"), "evidence_id")).alias("inputs"),
             F.col("exposure").cast(cents).alias("result"), F.lit("").alias("sql")).alias("calculation"),
-        F.array(F.struct(F.col("evidence_id"), F.sha2("evidence_id", 256).alias("content"))).alias("evidence_refs"),
+        refs.alias("evidence_refs"),
         tests.alias("counter_tests"),
-        F.struct(*[F.lit(False).alias(n) for n in (
+        F.struct(*[(F.col("status") == "review_needed" if n == "material_uncertainty" else F.lit(False)).alias(n) for n in (
             "conflicting_evidence", "material_uncertainty", "accounting_judgement", "incomplete_supporting_evidence")]).alias("signals"),
         F.array_join("uncertainty", "; ").alias("uncertainty"),
         F.struct(

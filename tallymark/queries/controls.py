@@ -15,6 +15,7 @@ from tallymark.plans.payment_split import PaymentSplit
 from tallymark.plans.period_cutoff import PeriodCutoff
 from tallymark.plans.vendor_sod import VendorSegregation
 from tallymark.queries import registry
+from tallymark.queries.records import VENDOR_GATE_SQL
 from tallymark.queries.tools import _REPAIRS, _SOD, REPAIRS, repair_tables, sod_tables, split_postings
 
 query = registry.query
@@ -186,12 +187,12 @@ def _(t):
     return out.select("verdict", F.replace(back, F.lit(" "), F.lit(",")).alias("codes")).groupBy("verdict", "codes").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("adm_09_record_candidates", """SELECT CAST(user_id AS VARCHAR) AS subject FROM events GROUP BY 1""")
+@query("adm_09_record_candidates", f"""SELECT vendor_id AS subject, CASE status WHEN 'dismissed' THEN 'DISMISSED' WHEN 'review_needed' THEN 'HUMAN_REVIEW' ELSE CASE WHEN still_open THEN 'HUMAN_REVIEW' ELSE 'CONFIRMED' END END AS verdict, exposure FROM ({VENDOR_GATE_SQL})""")
 def _(t):
     from tallymark.plans.vendor_integrity import VendorIntegrity
     from tallymark.queries.records import VENDOR_PARAMETERS, vendor_tables
     outcomes = VendorIntegrity().evaluate(vendor_tables(t), VENDOR_PARAMETERS)
-    return admission.admit_candidates(admission.candidates_from_outcomes(outcomes, "eng", "run")).where("verdict in ('DISMISSED', 'HUMAN_REVIEW', 'CONFIRMED')").select("subject")
+    return admission.admit_candidates(admission.candidates_from_outcomes(outcomes, "eng", "run")).select("subject", "verdict", "exposure")
 
 
 # --- cases ---------------------------------------------------------------------------------------

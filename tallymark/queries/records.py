@@ -137,6 +137,8 @@ _VENDOR_SQL = f"""WITH {_VENDOR_VIEWS},
     SELECT vendor_id, CASE WHEN NOT known THEN 'review_needed' WHEN legit AND NOT core THEN 'dismissed' WHEN norev > 0 OR (prior = 0 AND nhist = 0) OR t_ind = 'u' OR t_fe = 'u' OR (svc AND n_con = 0) OR (svc AND NOT sok AND n_del = 0 AND n_acc = 0)
         OR (gds AND n_gr = 0) OR (unk AND NOT (sok OR h_gr)) OR (legit AND core) OR sig = ['missing_service_or_delivery_evidence'] THEN 'review_needed' WHEN len(sig) < 1 THEN 'dismissed' ELSE 'confirmed_candidate' END AS status,
         array_to_string(sig, ',') AS signals, CAST(len(sig) AS DECIMAL(18,2)) AS severity_score, cash AS exposure, net AS invoice_net_amount, tax AS invoice_tax_amount FROM j"""
+# What the admission gate makes of it: a confirmed outcome with an open counter-test goes to a person.
+VENDOR_GATE_SQL = _VENDOR_SQL.replace("array_to_string(sig, ',') AS signals,", "norev > 0 OR (prior = 0 AND nhist = 0) OR t_ind = 'u' OR t_fe = 'u' OR n_con = 0 OR n_del = 0 OR n_acc = 0 OR n_gr = 0 AS still_open, array_to_string(sig, ',') AS signals,")
 
 
 def vendor_tables(t):

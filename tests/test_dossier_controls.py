@@ -111,3 +111,18 @@ def test_graph_hops(spark):
     assert reach(2) == {"entity-1", "event-1", "evidence-1", "evidence-2"}
     assert reach(2, ["created", "supported_by"]) == {"entity-1", "event-1", "evidence-1"}
     assert {r["id"]: r["kind"] for r in graph.with_implicit_nodes(nodes, edges).collect()}["evidence-2"] == "entity"
+
+
+@pytest.mark.parametrize(("status", "tests", "uncertainty", "verdict"), [
+    ("confirmed_candidate", ["accounted_for", "not_found"], [], "CONFIRMED"), ("confirmed_candidate", ["not_found", "unresolved"], [], "HUMAN_REVIEW"),
+    ("review_needed", ["not_found"], [], "HUMAN_REVIEW"), ("confirmed_candidate", ["not_found"], ["open"], "HUMAN_REVIEW"),
+    ("dismissed", ["accounted_for", "not_found"], [], "DISMISSED"), ("dismissed", ["not_found"], [], "DISMISSED")])
+def test_record_outcomes_at_the_gate(spark, status, tests, uncertainty, verdict):
+    from tallymark.operators.admission import admit_candidates, candidates_from_outcomes
+    row = ("c1", "1", status, "v1", 10.0, "e1", [(f"t{i}", s, "searched") for i, s in enumerate(tests)], uncertainty)
+    schema = "control_id string, control_version string, status string, subject string, exposure double, evidence_id string, counter_tests array<struct<name string, status string, description string>>, uncertainty array<string>"
+    outcomes = spark.createDataFrame([row], schema)
+    assert admit_candidates(candidates_from_outcomes(outcomes, "eng", "run")).first()["verdict"] == verdict
+    evidence = spark.createDataFrame([("e1", "row text"), ("e2", "other")], "evidence_id string, content string")
+    assert admit_candidates(candidates_from_outcomes(outcomes, "eng", "run", evidence)).first()["verdict"] == verdict
+    assert admit_candidates(candidates_from_outcomes(outcomes, "eng", "run", evidence.where("evidence_id = 'e2'"))).first()["verdict"] == "REJECTED"
