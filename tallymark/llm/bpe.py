@@ -18,7 +18,7 @@ from tallymark.llm import tokens
 from tallymark.llm.common import chunks
 
 #: Pieces, and runs of ids, after which a worker starts anew; distinct pieces of one recursive query; bytes of text of one round.
-KEPT, SLICE, ROUND = 450_000, 50_000, 16 << 20
+KEPT, SLICE, ROUND = 650_000, 50_000, 16 << 20
 #: Longer pieces (in bytes) take one contraction per round of the query, so they leave it for a heap.
 LONG = 256
 #: Ids that one decoding query aggregates.
