@@ -37,7 +37,24 @@ def _as_normalised(t):
     return split_tables(t)["payments"].withColumns({"payee": normalize_identifier(F.col("payee")), "reference": normalize_identifier(F.col("payment_reference"))})
 
 
-@query("alloc_01_resolve_reversals")
+# One recursion per payee and size: reversals in order, each seeing what earlier ones have taken.
+_RESOLVED = """WITH RECURSIVE p AS (SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS payee, CAST(ts AS DATE) AS d, CAST(value AS DECIMAL(18,2)) AS a, NULL::VARCHAR AS rev FROM events WHERE event_type = 'purchase'
+    UNION ALL SELECT 'R' || event_id, CAST(user_id AS VARCHAR), CAST(ts AS DATE) + CAST(event_id % 3 - 1 AS INTEGER), CAST(-value AS DECIMAL(18,2)), CASE WHEN event_id % 12 <> 0 THEN CAST(event_id AS VARCHAR) END FROM events WHERE event_type = 'purchase' AND event_id % 4 = 0
+    UNION ALL SELECT 'S' || event_id, CAST(user_id AS VARCHAR), CAST(ts AS DATE) + 2, CAST(-value AS DECIMAL(18,2)), CASE WHEN event_id % 12 <> 0 THEN CAST(event_id AS VARCHAR) END FROM events WHERE event_type = 'purchase' AND event_id % 6 = 0),
+    pay AS (SELECT payee, a AS size, list({'d': d, 'id': id}) AS ps FROM p WHERE a > 0 GROUP BY 1, 2),
+    rev AS (SELECT payee, -a AS size, id, d, rev, row_number() OVER (PARTITION BY payee, a ORDER BY d, id) AS k FROM p WHERE a < 0),
+    step AS (SELECT DISTINCT payee, size, 0::BIGINT AS k, NULL::VARCHAR AS reversal_id, NULL::VARCHAR AS reversal_of, NULL::DATE AS reversal_date, NULL::VARCHAR AS target_id, NULL::VARCHAR AS reason, []::VARCHAR[] AS used FROM rev
+      UNION ALL
+      SELECT payee, size, k, id, rev, d, target, why, CASE WHEN target IS NULL THEN used ELSE list_append(used, target) END FROM (
+        SELECT payee, size, k, id, rev, d, used,
+          CASE WHEN rev IS NOT NULL THEN CASE WHEN due <= d AND NOT list_contains(used, rev) THEN rev END WHEN len(open) = 1 THEN open[1] END AS target,
+          CASE WHEN rev IS NOT NULL THEN CASE WHEN due IS NULL OR list_contains(used, rev) THEN 'explicit reversal target is missing, incompatible, or already reversed' WHEN due > d THEN 'explicit reversal predates its referenced payment' ELSE 'explicit reversal matched its referenced payment' END
+            WHEN len(open) = 1 THEN 'unique equal-and-opposite payment matched by payee and reference' WHEN len(open) = 0 THEN 'no equal-and-opposite payment matched the reversal' ELSE 'multiple payments could match the reversal' END AS why
+        FROM (SELECT rev.*, step.used, list_filter(ps, lambda x: x.id = rev.rev)[1].d AS due, list_transform(list_filter(coalesce(ps, []), lambda x: x.d <= rev.d AND NOT list_contains(step.used, x.id)), lambda x: x.id) AS open
+              FROM step JOIN rev ON rev.payee = step.payee AND rev.size = step.size AND rev.k = step.k + 1 LEFT JOIN pay ON pay.payee = rev.payee AND pay.size = rev.size)))"""
+
+
+@query("alloc_01_resolve_reversals", _RESOLVED + " SELECT reversal_id, target_id, reason FROM step WHERE k > 0")
 def _(t):
     return allocation.resolve_reversals(_as_normalised(t)).select("reversal_id", "target_id", "reason")
 
@@ -55,7 +72,10 @@ def _(t):
     return allocation.resolve_reversals(rows).select("reversal_id", "target_id", "reason")
 
 
-@query("alloc_02_unresolved_reversals")
+@query("alloc_02_unresolved_reversals", _RESOLVED + """, open_ones AS (SELECT * FROM step WHERE k > 0 AND target_id IS NULL), g AS (SELECT DISTINCT payee, d FROM p WHERE a > 0),
+    r AS (SELECT DISTINCT p.payee, p.d, o.reason FROM open_ones o JOIN p ON p.id = o.reversal_of AND p.payee = o.payee WHERE p.a > 0
+      UNION SELECT g.payee, g.d, o.reason FROM g JOIN open_ones o ON o.payee = g.payee AND o.reversal_date >= g.d)
+    SELECT payee, d AS payment_date, CASE WHEN length(payee) > 1 THEN 'BATCH A' ELSE 'BATCH B' END AS reference, string_agg(reason, '; ' ORDER BY reason) AS reasons FROM r GROUP BY payee, d""")
 def _(t):
     control = SplitPayments()
     payments = _as_normalised(t)
@@ -279,12 +299,26 @@ def _vendor_links(t):
     return left, right, ranked_links(left, right, HIERARCHY, Decimal(2000))
 
 
-@query("alloc_08_single_use_receipts")
+# One recursion per vendor: consumers in order, each seeing what earlier ones have used.
+_LISTS = """WITH RECURSIVE links AS (SELECT i.o_custkey % 100 AS vendor, i.o_orderkey AS consumer, CAST(i.o_totalprice AS DECIMAL(18,2)) AS net, r.o_orderkey AS resource, CAST(r.o_totalprice AS DECIMAL(18,2)) AS covers FROM orders i JOIN orders r ON i.o_custkey % 100 = r.o_custkey % 100
+      AND abs(CAST(i.o_totalprice AS DECIMAL(18,2)) - CAST(r.o_totalprice AS DECIMAL(18,2))) <= 2000 WHERE i.o_orderstatus <> 'F' AND r.o_orderstatus = 'F'),
+    lists AS (SELECT vendor, consumer, net, list({'r': resource, 'c': covers} ORDER BY resource) AS rs, row_number() OVER (PARTITION BY vendor ORDER BY consumer) AS k FROM links GROUP BY vendor, consumer, net),
+    begin AS (SELECT DISTINCT vendor, 0::BIGINT AS k, NULL::BIGINT AS consumer, []::STRUCT(r BIGINT, c DECIMAL(18,2))[] AS taken, []::BIGINT[] AS used FROM lists),
+    """
+
+
+@query("alloc_08_single_use_receipts", _LISTS + """step AS (SELECT * FROM begin UNION ALL
+      SELECT l.vendor, l.k, l.consumer, list_filter(l.rs, lambda x: NOT list_contains(s.used, x.r))[:1], s.used || list_transform(list_filter(l.rs, lambda x: NOT list_contains(s.used, x.r))[:1], lambda x: x.r) FROM step s JOIN lists l ON l.vendor = s.vendor AND l.k = s.k + 1)
+    SELECT consumer, taken[1].r AS resource FROM step WHERE len(taken) > 0""")
 def _(t):
     return allocation.single_use_picks(_vendor_links(t)[2]).select("consumer", "resource")
 
 
-@query("alloc_09_closing_coverage")
+@query("alloc_09_closing_coverage", _LISTS + """step AS (SELECT * FROM begin UNION ALL
+      SELECT vendor, k, consumer, taken, used || list_transform(taken, lambda x: x.r) FROM (
+        SELECT vendor, k, consumer, used, list_filter(open, lambda x, i: net - coalesce(list_sum(list_transform(open[:i - 1], lambda y: y.c)), 0) > 0.01) AS taken FROM (
+          SELECT l.vendor, l.k, l.consumer, l.net, s.used, list_filter(l.rs, lambda x: NOT list_contains(s.used, x.r)) AS open FROM step s JOIN lists l ON l.vendor = s.vendor AND l.k = s.k + 1)))
+    SELECT consumer, t.r AS resource, t.c AS covers FROM (SELECT consumer, unnest(taken) AS t FROM step)""")
 def _(t):
     left, right, links = _vendor_links(t)
     edges = links.join(left.select("consumer", F.col("net_amount")), "consumer").join(right.select("resource", F.col("net_amount").alias("covers")), "resource")
