@@ -72,10 +72,12 @@ def _(t):
     return allocation.resolve_reversals(rows).select("reversal_id", "target_id", "reason")
 
 
-@query("alloc_02_unresolved_reversals", _RESOLVED + """, open_ones AS (SELECT * FROM step WHERE k > 0 AND target_id IS NULL), g AS (SELECT DISTINCT payee, d FROM p WHERE a > 0),
+_OPEN = _RESOLVED + """, open_ones AS (SELECT * FROM step WHERE k > 0 AND target_id IS NULL), g AS (SELECT DISTINCT payee, d FROM p WHERE a > 0),
     r AS (SELECT DISTINCT p.payee, p.d, o.reason FROM open_ones o JOIN p ON p.id = o.reversal_of AND p.payee = o.payee WHERE p.a > 0
-      UNION SELECT g.payee, g.d, o.reason FROM g JOIN open_ones o ON o.payee = g.payee AND o.reversal_date >= g.d)
-    SELECT payee, d AS payment_date, CASE WHEN length(payee) > 1 THEN 'BATCH A' ELSE 'BATCH B' END AS reference, string_agg(reason, '; ' ORDER BY reason) AS reasons FROM r GROUP BY payee, d""")
+      UNION SELECT g.payee, g.d, o.reason FROM g JOIN open_ones o ON o.payee = g.payee AND o.reversal_date >= g.d)"""
+
+
+@query("alloc_02_unresolved_reversals", _OPEN + """ SELECT payee, d AS payment_date, CASE WHEN length(payee) > 1 THEN 'BATCH A' ELSE 'BATCH B' END AS reference, string_agg(reason, '; ' ORDER BY reason) AS reasons FROM r GROUP BY payee, d""")
 def _(t):
     control = SplitPayments()
     payments = _as_normalised(t)
@@ -85,7 +87,16 @@ def _(t):
     return out.select("payee", "payment_date", "reference", F.array_join(F.array_sort("open_reasons"), "; ").alias("reasons"))
 
 
-@query("ctl_06_split_records")
+@query("ctl_06_split_records", _OPEN + """, m AS (SELECT p.payee, p.d, p.id, p.a, s.target_id IS NOT NULL AS gone, CAST(p.id AS BIGINT) % 7 = 0 AS ob, CAST(p.id AS BIGINT) % 31 = 0 AS ap FROM p LEFT JOIN (SELECT DISTINCT target_id FROM step) s ON s.target_id = p.id WHERE p.a > 0),
+    w AS (SELECT payee, d, count(*) AS payments, CAST(sum(a) AS DECIMAL(18,2)) AS raw_total, count(*) FILTER (WHERE NOT gone) AS active, CAST(coalesce(sum(a) FILTER (WHERE NOT gone), 0) AS DECIMAL(18,2)) AS exposure, max(a) FILTER (WHERE NOT gone) AS hi,
+        bool_and(ob) AS all_ob, bool_or(ob) AS any_ob, bool_or(ap) AS ap, bool_or(gone) AS any_gone, string_agg(CAST(a AS VARCHAR), ' + ' ORDER BY id) AS terms FROM m GROUP BY payee, d HAVING count(*) >= 2 AND max(a) < 100 AND sum(a) >= 100),
+    o AS (SELECT payee, d, string_agg(reason, '; ' ORDER BY reason) AS reasons FROM r GROUP BY payee, d),
+    x AS (SELECT w.*, reasons, any_ob AND NOT all_ob AS part FROM w LEFT JOIN o USING (payee, d))
+    SELECT payee || '/' || d || '/' || CASE WHEN length(payee) > 1 THEN 'BATCH A' ELSE 'BATCH B' END AS subject,
+        CASE WHEN reasons IS NOT NULL OR part THEN 'review_needed' WHEN all_ob OR ap THEN 'dismissed' WHEN active >= 2 AND hi < 100 AND exposure >= 100 THEN 'confirmed_candidate' ELSE 'dismissed' END AS status,
+        exposure, payments, raw_total, active, concat_ws('; ', CASE WHEN part THEN 'contractual-obligation identifiers are incomplete or duplicated' END, reasons) AS uncertainty,
+        CASE WHEN reasons IS NOT NULL THEN 'unresolved' WHEN any_gone THEN 'accounted_for' ELSE 'not_found' END || ',' || CASE WHEN all_ob THEN 'accounted_for' WHEN any_ob THEN 'unresolved' ELSE 'not_found' END || ',not_found,' || CASE WHEN ap THEN 'accounted_for' ELSE 'not_found' END AS tests,
+        terms || ' = ' || raw_total AS expression FROM x""")
 def _(t):
     out = SplitPayments().evaluate(split_tables(t), SplitParameters(Decimal(100)))
     return out.select("subject", "status", "exposure", "payments", "raw_total", "active", F.array_join("uncertainty", "; ").alias("uncertainty"),
