@@ -64,7 +64,35 @@ def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_bpe, op4_topk, op5_html, op6_packing, op7_quality_rules, op8_chat, op9_cotrain, op10_lm)}
+_LIMITS = " UNION ALL ".join(f"""
+        SELECT {level} AS level, {lang} AS lang_key, {source} AS source_key, rule, max(total) AS total,
+               min(value) FILTER (WHERE upto >= ceil(0.5::DOUBLE * total)) AS mid, min(value) FILTER (WHERE upto >= ceil(0.1::DOUBLE * total)) AS low FROM (
+          SELECT *, sum(n) OVER (PARTITION BY {keys} rule ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY {keys} rule) AS total,
+                 coalesce(2 * pow(1.02::DOUBLE, bucket) / (1.02::DOUBLE + 1), 0) AS value FROM (
+            SELECT {columns} rule, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL"""
+    for level, lang, source, keys, columns in ((1, "lang_key", "source_key", "lang_key, source_key,", "lang_key, source_key,"), (2, "lang_key", "NULL", "lang_key,", "lang_key,"), (3, "NULL", "NULL", "", "")))
+_CUT = "mid + spreads * (mid - low) + slack"
+
 ORACLES: dict[str, str] = {
+    "op7_quality_rules": f"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce('=' || lang, '') AS lang_key, coalesce('=' || source, '') AS source_key, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+        g AS (SELECT row, i, count(*) OVER (PARTITION BY row, ws[i], ws[i + 1], ws[i + 2]) AS times FROM (SELECT row, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+        rep AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM g WHERE times > 1) GROUP BY row),
+        m AS (SELECT w.row, doc_id, lang_key, source_key, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN rep USING (row)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+        rules(rule, spreads, slack) AS (VALUES {", ".join(f"('{r}', {k}::DOUBLE, {s}::DOUBLE)" for r, (_, _, k, s) in quality_rules.RULES.items())}),
+        v AS (SELECT row, lang_key, source_key, base_failed, rule, top::DOUBLE AS top, bottom::DOUBLE AS bottom FROM (
+          {" UNION ALL ".join(f"SELECT row, lang_key, source_key, base_failed, '{r}' AS rule, {t} AS top, {u} AS bottom FROM b" for r, (t, u, _, _) in quality_rules.RULES.items())})),
+        sketch AS (SELECT lang_key, source_key, rule, CASE WHEN share >= 1e-4 THEN ceil(round(ln(share) / ln(1.02::DOUBLE), 9)) END AS bucket, count(*) AS n FROM (
+          SELECT *, coalesce(top / nullif(bottom, 0), 0) AS share FROM v WHERE NOT base_failed) GROUP BY ALL),
+        limits AS ({_LIMITS}),
+        cuts AS (SELECT limits.*, {_CUT} AS most FROM limits JOIN rules USING (rule)),
+        verdict AS (SELECT v.row, bool_and(coalesce(top <= bottom * CASE WHEN o.total >= 100 THEN o.most WHEN o.total IS NULL THEN NULL WHEN l.total >= 100 THEN l.most ELSE a.most END, FALSE)) AS within FROM v
+          LEFT JOIN cuts o ON o.level = 1 AND o.rule = v.rule AND o.lang_key = v.lang_key AND o.source_key = v.source_key LEFT JOIN cuts l ON l.level = 2 AND l.rule = v.rule AND l.lang_key = v.lang_key LEFT JOIN cuts a ON a.level = 3 AND a.rule = v.rule GROUP BY v.row)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept FROM b JOIN verdict USING (row)
+    """,
     "op4_topk": """
         WITH whole AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
