@@ -388,12 +388,14 @@ def test_windows_score_each_subword_once_and_probabilities_sum_to_one():
     r = np.random.default_rng(3)
     counts = r.integers(0, 50, lm.VOCABULARY)
     classes = r.integers(0, lm.CLASSES, lm.VOCABULARY)
-    total, members = np.bincount(classes, counts, lm.CLASSES), np.bincount(classes, minlength=lm.CLASSES)
-    share = np.log((counts + 0.5) / (total + 0.5 * members)[classes]).astype(np.float32)
-    np.testing.assert_allclose(np.bincount(classes, np.exp(share), lm.CLASSES), 1, rtol=1e-3)
-    shapes = {"embed": (lm.OWN + lm.CLASSES, lm.WIDTH), "q": (lm.WIDTH, lm.WIDTH), "k": (lm.WIDTH, lm.WIDTH), "v": (lm.WIDTH, lm.WIDTH), "bias": (lm.STRIDE, 2 * lm.STRIDE), "w1": (lm.WIDTH, lm.HIDDEN), "b1": (lm.HIDDEN,), "w2": (lm.HIDDEN, lm.WIDTH), "out": (lm.WIDTH, lm.CLASSES), "ob": (lm.CLASSES,)}
+    places = r.integers(0, lm.PLACES, lm.VOCABULARY)
+    cell = classes * lm.PLACES + places
+    total, members = np.bincount(cell, counts, lm.CLASSES * lm.PLACES), np.bincount(cell, minlength=lm.CLASSES * lm.PLACES)
+    share = np.log((counts + 0.5) / (total + 0.5 * members)[cell]).astype(np.float32)
+    np.testing.assert_allclose(np.bincount(cell, np.exp(share), lm.CLASSES * lm.PLACES), 1, rtol=1e-3)
+    shapes = {"embed": (lm.OWN + lm.CLASSES, lm.WIDTH), "q": (lm.WIDTH, lm.WIDTH), "k": (lm.WIDTH, lm.WIDTH), "v": (lm.WIDTH, lm.WIDTH), "bias": (lm.STRIDE, 2 * lm.STRIDE), "w1": (lm.WIDTH, lm.HIDDEN), "b1": (lm.HIDDEN,), "w2": (lm.HIDDEN, lm.WIDTH), "out": (lm.WIDTH, lm.CLASSES), "ob": (lm.CLASSES,), "inner": (lm.CLASSES, lm.WIDTH, lm.PLACES), "ib": (lm.CLASSES, lm.PLACES)}
     p = {k: (r.standard_normal(s) * 0.4).astype(np.float32) for k, s in shapes.items()}
-    model = lm.Attention(r.integers(0, lm.OWN + lm.CLASSES, lm.VOCABULARY), classes, share, p)
+    model = lm.Attention(r.integers(0, lm.OWN + lm.CLASSES, lm.VOCABULARY), classes, places, share, p)
     texts = [r.integers(0, 50000, n) for n in (0, 1, 15, 16, 17, 70)]
 
     def plain(ids):
@@ -405,8 +407,11 @@ def test_windows_score_each_subword_once_and_probabilities_sum_to_one():
             s = (x[-1] @ p["q"]) @ (x @ p["k"]).T / np.sqrt(lm.WIDTH) + p["bias"][slot][[lm.STRIDE + slot - (t - j) for j in range(low, t + 1)]]
             a = np.exp(s - s.max())
             h = x[-1] + (a / a.sum()) @ (x @ p["v"])
-            e = (h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]) @ p["out"] + p["ob"]
-            score += e[classes[aim[t]]] - np.log(np.exp(e).sum()) + share[aim[t]]
+            u = h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
+            c = classes[aim[t]]
+            for e, won in ((u @ p["out"] + p["ob"], c), (u @ p["inner"][c] + p["ib"][c], places[aim[t]])):
+                score += e[won] - np.log(np.exp(e).sum())
+            score += share[aim[t]]
         return score / np.log(10)
     np.testing.assert_allclose(model.score(texts), [plain(t) for t in texts], rtol=1e-3)
 
