@@ -87,17 +87,16 @@ def _refine(block: _Block, counts: DataFrame) -> None:
     need = merged.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     found = need.select("q", "bin", "before", "n").where(F.col("before") < block.k).groupBy("q").agg(
         F.sort_array(F.collect_list(F.struct("before", "bin", "n"))).alias("bins")).collect()
-    step = -(-block.width // BINS)
-    for r in found:
-        q, left = r["q"], block.need[r["q"]]
-        hit = next((b for b in r["bins"] if b["before"] < left <= b["before"] + b["n"]), None)
+    step, bins = -(-block.width // BINS), {r["q"]: r["bins"] for r in found}
+    for q in np.flatnonzero(block.width > 1).tolist():
+        left = block.need[q]
+        hit = next((b for b in bins.get(q, ()) if b["before"] < left <= b["before"] + b["n"]), None)
         if hit is not None:
             block.low[q] += hit["bin"] * step[q]
             block.need[q] = left - hit["before"]
             block.width[q] = step[q]
-        else:  # fewer rows than asked for: all of them are taken
-            block.width[q], block.need[q] = 1, left
-            block.low[q] = np.iinfo(np.int64).min // 2
+        else:  # fewer rows than asked for, or none: all of them are taken
+            block.width[q], block.low[q] = 1, np.iinfo(np.int64).min // 2
 
 
 def _selected(block: _Block):
