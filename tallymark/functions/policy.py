@@ -12,6 +12,7 @@ from .text import contains_any
 # Phrases that announce a second approval.
 SECOND_APPROVAL = ("zweite freigabe", "vier-augen", "vier augen", "second approval", "two approvers",
                    "dual approval")
+# How an amount before the currency and a period end are written.
 _AMOUNT_BEFORE_EURO = r"(?i)(\d[\d.\s]*\d|\d)\s*(?:EUR|€)"
 _PERIOD_END = r"(?i)(?:stichtag|year[- ]?end|per)\D{0,12}(\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4})"
 

@@ -105,6 +105,7 @@ def resolve_reversals(payments: DataFrame) -> DataFrame:
             .when(F.col("named").isNotNull(), F.when((F.col("target_date") <= F.col("day")) & ~gone_before, F.col("named_number")))
             .when(left_open == 1, (F.col("arrived_sum") - F.col("gone_sum")).cast("long"))
         )
+        # The reasons of a resolution, compared by fixtures.
         reason = (
             F.when(F.col("named").isNotNull() & gone_before, "explicit reversal target is missing, incompatible, or already reversed")
             .when(F.col("named").isNotNull() & (F.col("target_date") > F.col("day")), "explicit reversal predates its referenced payment")

@@ -18,6 +18,7 @@ from tallymark.plans.base import outcome_counter, parameter_map, review_reasons
 from tallymark.session import materialize
 
 KINDS = tuple(V.SUPPORT_TERMS)
+# Fixed value: the reason that every open capitalisation carries.
 JUDGEMENT = "capitalization classification requires accounting judgement; description matching alone is not proof of misstatement"
 
 
@@ -209,6 +210,7 @@ class CapitalExpenditure:
         cleared = present("reversal_or_reclassification") & (remaining == 0)
         dismissed = (c("unresolved") == 0) & (cleared | valid)
         material = [k for k in KINDS if k != "reversal_or_reclassification"]
+        # The reasons for review, compared by fixtures.
         doubts = review_reasons(
             *[F.when(is_(k, "unresolved"), c(f"d_{k}")) for k in material],
             F.when(c("unresolved") > 0, unmatched),

@@ -174,6 +174,7 @@ class VendorIntegrity:
             (c("t_independent_approval") == "accounted_for") & (c("t_legitimate_four_eyes_setup") == "accounted_for")
             & (~service | service_ok) & (~goods | goods_ok) & (~unknown | service_ok | goods_ok))
         only_missing = (F.size("signals") == 1) & (c("signals")[0] == "missing_service_or_delivery_evidence")
+        # The reasons for review, compared by fixtures.
         doubts = review_reasons(
             F.when(is_open("reversal"), "one or more reversal records could not be matched deterministically"),
             F.when(is_open("prior_activity"), "no prior-history evidence was supplied"),

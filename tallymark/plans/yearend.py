@@ -166,6 +166,7 @@ class YearEndCutoff:
         rows = rows.withColumns({"adjustment_net": adjustment, "closing_coverage_net": covered}).withColumn("exposure", exposure)
         refused = c("receipt_record").isNotNull() & (c("receipt_status") != "accepted")
         dismissed = refused | (c("exceptions") > 0) | (c("adjustment_net") >= c("net_amount") - tolerance) | (c("exposure") == 0)
+        # The reasons for review, compared by fixtures.
         doubts = review_reasons(
             F.when(~c("accounting_period_known"), "invoice accounting period is uncertain"),
             F.when(c("receipt_record").isNull() | c("occurrence_date").isNull(), "service, delivery, or receipt date is missing"),

@@ -24,6 +24,7 @@ PARAGRAPHS = "source_path string, file_sha256 string, row int, paragraph string,
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+# Built-in date formats, and the forms in which typed cells are told from text.
 _DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 _GERMAN_DATE = r"^\s*\d{1,2}\.\d{1,2}\.\d{2,4}\s*$"
 _GERMAN_DECIMAL = r"(?i)^\s*(?:EUR|€)?\s*\(?[+-]?(?:\d{1,3}(?:\.\d{3})+|\d+),\d+\)?\s*(?:EUR|€)?\s*$"
