@@ -60,6 +60,8 @@ RULES = {
     "dup_line_share": ("n_dup_lines", "n_lines", 3.0, 0.35),
     "mean_word": ("word_chars", "n_words", 6.0, 1.5),
 }
+#: Groups up to which their limits are sent to every task; more are joined by a shuffle.
+SENT = 50_000
 #: Documents below which a group borrows its language's thresholds, and a language those of all.
 MIN_GROUP = 100
 
@@ -148,7 +150,12 @@ def thresholds(sketches: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 
 def judged(signals: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Join every document with its group's limits: adds base_failed and kept."""
+    """Join every document with its group's limits: adds base_failed and kept.
+
+    ``limits`` is written already. Its rows are counted, so that documents need not move for the
+    usual few groups.
+    """
+    limits = F.broadcast(limits) if limits.count() <= SENT else limits
     keyed = signals.withColumns({"lang_key": _group(lang), "source_key": _group(source), "base_failed": base_failed()})
     within = ~F.col("base_failed")
     for name, (top, bottom, _, _) in RULES.items():
@@ -173,4 +180,4 @@ def quality_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                      min_group: int = MIN_GROUP) -> DataFrame:
     """Like ``quality_rules`` without the texts: they are read once, and only measures move on."""
     signals = materialize(with_signals(docs.select(doc_id, text, lang, source), text, keep_text=False))
-    return judged(signals, thresholds(sketch(signals, lang, source), min_group), lang, source)
+    return judged(signals, materialize(thresholds(sketch(signals, lang, source), min_group)), lang, source)
