@@ -106,14 +106,16 @@ def sum_of_squares(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarra
     return bins, offsets
 
 
-def pack(rows: DataFrame, length: str = "length", size: int = SEQUENCE, group: int = GROUP, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(rows: DataFrame, length: str = "length", size: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to every row; rows keep all their other columns.
 
-    Full pieces are sequences by themselves and go nowhere. Shorter ones are dealt by hash into
-    groups of about ``group`` rows, one task each, so every group sees the whole mix of lengths; a
+    Full pieces are sequences by themselves and go nowhere. Shorter ones are dealt by a hash of their
+    place in the written rows, so that repeated rows spread, into groups of about ``group`` rows, one
+    task each. Every group sees the whole mix of lengths; a
     group ends with a few part-filled sequences, which is all that splitting costs. A length over ``size`` or below 1 is an error.
     """
-    key = F.xxhash64(*order)
+    rows = materialize(rows)
+    key = F.xxhash64(F.monotonically_increasing_id())
     whole = rows.where(F.col(length) == size)
     rest = rows.where(F.col(length) != size)
     counted = rest.agg(F.count(F.lit(1)), F.min(length), F.max(length)).first()
@@ -141,5 +143,4 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null and empty texts are one piece that holds the end id. Repeated rows are packed each.
     """
-    cut_up = materialize(pieces(docs, doc_id, text, size, path, with_ids))
-    return pack(cut_up, "length", size, order=(doc_id, "piece"))
+    return pack(pieces(docs, doc_id, text, size, path, with_ids), "length", size)

@@ -268,7 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     prior = (positive + 0.5) / (positive + negative + 10)
     chosen = [known.where(F.col("_toxic") == k).orderBy("_h", doc_id).limit(per_class) for k in (0, 1)]
     ids = materialize(chosen[0].unionByName(chosen[1]))
-    sample = materialize(docs.select(doc_id, text).join(F.broadcast(ids), doc_id))  # at most 2 * per_class ids
+    # At most 2 * per_class ids; of repeated rows of an id one text, the smallest, so that the sample stays bounded.
+    sample = materialize(docs.select(doc_id, text).join(F.broadcast(ids), doc_id).groupBy(doc_id, "_toxic", "_h").agg(F.min(text).alias(text)))
     teach, hold = sample.where(F.pmod("_h", F.lit(5)) != 0), sample.where(F.pmod("_h", F.lit(5)) == 0)
     counts = {r["_toxic"]: r["n"] for r in teach.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     lifts = _mined(teach, text, "_toxic", (counts.get(0, 0), counts.get(1, 0))) if len(counts) == 2 else {}
