@@ -28,6 +28,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.driver.memory", memory)
         # Small local shuffles keep their partitions instead of being merged into one task.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
+        # Rounds of a loop leave no files behind once their frames are gone.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
