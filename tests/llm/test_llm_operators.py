@@ -416,6 +416,30 @@ def test_windows_score_each_subword_once_and_probabilities_sum_to_one():
     np.testing.assert_allclose(model.score(texts), [plain(t) for t in texts], rtol=1e-3)
 
 
+def test_every_training_window_teaches(spark):
+    r = np.random.default_rng(5)
+    line = ["stone", "river", "cloud", "apple", "house", "light", "green", "table"]
+    rows = [(i, " ".join(line[(at + j) % 8] for j in range(1000))) for i, at in enumerate(r.integers(0, 8, 1000).tolist())]
+    # One word follows from the one before; eight windows alone cannot teach that.
+    found = lm.scores(docs(spark, rows), windows=8).where(~F.col("trained")).agg(F.sum("score") / F.sum("n_subwords")).first()[0]
+    assert found > -0.8
+
+
+def test_neighbours_are_counted_over_all_training_texts(spark):
+    rows = [(i, t) for i, t in enumerate([prose(k, 12) for k in range(30)] + ["", None, "one"])]
+    prepared = lm.prepare(docs(spark, rows), {}, 1, "doc_id", "text", tokens.default_path())
+    counts = lm.subword_counts(prepared)
+    near = {w: k for k, w in enumerate(np.argsort(-counts, kind="stable")[:255].tolist())}
+    want = Counter()
+    for row in prepared.where("trained").collect():
+        line = [lm.END, *np.frombuffer(row["ids"], np.uint16).tolist(), lm.END]
+        for a, b in zip(line, line[1:]):
+            want[a, near.get(b, 255)] += 1
+            want[b, 256 + near.get(a, 255)] += 1
+    table = lm.neighbour_counts(prepared, counts)
+    assert {(int(a), int(b)): int(table[a, b]) for a, b in zip(*np.nonzero(table))} == want
+
+
 # --- pipeline and registration
 
 def test_stages_work_on_edges_and_keep_the_columns(spark, tmp_path):
