@@ -442,6 +442,35 @@ def test_neighbours_are_counted_over_all_training_texts(spark):
 
 # --- pipeline and registration
 
+def test_near_duplicate_stage_links_all_pairs_of_five_word_similarity(spark):
+    r = random.Random(4)
+    rows = list(EDGES)
+    for k in range(40):
+        text = prose(500 + k, 150).split()
+        rows.append((1000 + 10 * k, " ".join(text)))
+        for copy in range(1, 6):  # one to five changed words
+            changed = list(text)
+            for at in r.sample(range(len(text)), copy):
+                changed[at] = f"other{r.randrange(10 ** 6)}"
+            rows.append((1000 + 10 * k + copy, " ".join(changed)))
+
+    def grams(text):
+        w = words(lowered(text))
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+    sets = [grams(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    best = {}
+    for (i, _), g in zip(rows, group):
+        best[g] = min(best.get(g, (True, 0)), (i is None, i or 0))
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs(spark, rows), "").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(best.values())
+
+
 def test_stages_work_on_edges_and_keep_the_columns(spark, tmp_path):
     rows = EDGES + [(100 + i, prose(i, 120)) for i in range(30)] + [(200 + i, prose(0, 120)) for i in range(5)]
     spark.createDataFrame([(100, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
