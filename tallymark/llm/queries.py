@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, centroids, chat, cotrain, html_extract, lm, packing, quality_rules, simhash, topk, toxicity
+from tallymark.llm import bpe, centroids, chat, conversations, cotrain, html_extract, lm, packing, quality_rules, simhash, token_files, topk, toxicity
 from tallymark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,12 +63,21 @@ def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.read(token_files.write(table(spark, folder, "documents")))
+
+
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return conversations.audited(rows, conversations.damage(rows))
+
+
 def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
     found = centroids.cluster(table(spark, folder, "embeddings"))
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroids.centroid_digest(F.col("centroid")).alias("centroid_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_bpe, op4_topk, op5_html, op6_packing, op7_quality_rules, op8_chat, op9_cotrain, op10_lm, op13_centroids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_bpe, op4_topk, op5_html, op6_packing, op7_quality_rules, op8_chat, op9_cotrain, op10_lm, op11_token_files, op12_conversations, op13_centroids)}
 _LIMITS = " UNION ALL ".join(f"""
         SELECT {level} AS level, {lang} AS lang_key, {source} AS source_key, rule, max(total) AS total,
                min(value) FILTER (WHERE upto >= ceil(0.5::DOUBLE * total)) AS mid, min(value) FILTER (WHERE upto >= ceil(0.1::DOUBLE * total)) AS low FROM (
@@ -79,6 +88,7 @@ _LIMITS = " UNION ALL ".join(f"""
 _CUT = "mid + spreads * (mid - low) + slack"
 
 ORACLES: dict[str, str] = {
+    "op12_conversations": conversations.ORACLE,
     "op13_centroids": centroids.ORACLE,
     "op7_quality_rules": f"""
         WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce('=' || lang, '') AS lang_key, coalesce('=' || source, '') AS source_key, coalesce(text, '') AS text FROM documents),
