@@ -2,11 +2,12 @@
 
 A corpus is a folder of shards. Shard k has three files: ``ids`` holds the ids of its documents one
 after the other as unsigned little-endian integers of one width; ``offsets`` holds little-endian 64-bit
-integers, the place in the whole corpus of every document's first id and, last, the place behind the
+integers, the place in the shard of every document's first id and, last, the place behind the
 shard; ``names`` is an Arrow file with the documents' own ids. Documents are range-partitioned, so shards
-follow each other in ascending order of the document id, and a shard's base is the sum of all ids
-before it. The manifest, a table of one row a shard, names the files and bases. A task that is run
-again writes files of new names, and only those of the run that counted are in the manifest.
+follow each other in ascending order of the document id, and a shard's base, its place in the whole
+corpus, is the prefix sum of the ids before it. The manifest, a table of one row a shard, names files
+and bases. A task that is run again writes files of new names, and only those of the run that counted
+are in the manifest.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from tallymark.session import materialize, shared_folder
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Bytes of text a shard is made for, and words a task remembers with their ids.
-SHARD_BYTES, KEPT = 256 << 20, 300_000
+SHARD_BYTES, KEPT = 256 << 20, 500_000
+_MARKS = frozenset(b".,;:!?")
 #: Documents of one batch of a reader.
 ROWS = 4096
 
@@ -42,26 +44,43 @@ def _tokenizer(path: str) -> Tokenizer:
 
 
 class WordEncoder:
-    """Ids of whole texts by a vocabulary that drops white space and never merges across it.
+    """Ids of whole texts by a vocabulary that folds case, drops white space and never merges across it.
 
-    A text's ids are then those of its words between ASCII white space, so each distinct word of a
-    task is encoded by the library once (or again after ``KEPT`` others).
+    A text's ids are those of its words between ASCII white space, and one mark of punctuation behind a
+    letter or digit is a piece of its own. So a task hands each distinct word without such a mark to the
+    library once, or again after ``KEPT`` others.
     """
 
     def __init__(self, path: str, width: str) -> None:
         self.path, self.width, self.known = path, width, {}
 
+    def _encode(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 4096):
+            some = words[at:at + 4096]
+            for w, e in zip(some, _tokenizer(self.path).encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, self.width).tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
         if len(self.known) > KEPT:
             self.known.clear()
         known = self.known
-        new = list({w for some in words for w in some if w not in known})
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            for w, e in zip(some, _tokenizer(self.path).encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.width).tobytes()
-        return [b"".join(map(known.__getitem__, some)) for some in words]
+        # A special token's spelling counts as written, so texts that may hold one keep their case.
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        made = {w: _stem(w) for w in {w for some in words for w in some} if w not in known}
+        self._encode(list({part for stem, mark in made.values() for part in (stem, mark) if part and part not in known}))
+        for w, (stem, mark) in made.items():
+            made[w] = known[stem] + known[mark] if mark else known[stem]
+        return [b"".join([known[w] if w in known else made[w] for w in some]) for some in words]
+
+
+def _stem(word: bytes) -> tuple[bytes, bytes]:
+    """A word without its last mark of punctuation, if that follows a letter or digit, and the mark."""
+    if word[-1] in _MARKS and len(word) > 1:
+        before = word[-2:-1] if word[-2] < 128 else word[:-1].decode()[-1].encode()
+        last = before.decode().lower()
+        if last.isalpha() or last.isascii() and last.isdigit():
+            return word[:-1], word[-1:]
+    return word, b""
 
 
 def width_of(path: str, end: int = END) -> str:
@@ -86,18 +105,6 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())]))
 
 
-def _ordered(docs: DataFrame, doc_id: str, text: str, shards: int | None) -> DataFrame:
-    """Documents in shards that follow each other, whatever share of the rows one id or one row has."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    if shards is None:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
-    # Rows of one id follow their texts' hash. The last column only spreads equal rows, whose order does not matter.
-    order = ["doc_id", "_hash", "_any"]
-    keyed = rows.withColumns({"_hash": F.xxhash64("text"), "_any": F.rand(7)})
-    return keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
-
-
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path in it; executors and the driver see the same files."""
     if "://" not in folder and not folder.startswith("file:"):
@@ -111,26 +118,26 @@ def write(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", te
     """Write all documents as shards below ``folder`` and return the manifest.
 
     Null and empty texts consist of the end id. Null document ids come first, rows of one id in the
-    order of their texts' hash, repeated rows each. No documents give an empty manifest. Extra columns
+    order of their ids' hash, repeated rows each. No documents give an empty manifest. Extra columns
     are ignored, whatever they are called. ``folder`` must be one that all executors share; by default
-    it is a new one beside the checkpoints. Manifest: shard, base, n_docs, n_tokens, width, files.
+    it is a new one beside the checkpoints. Manifest: shard, n_docs, n_tokens, width, files, base.
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
     path = path or public_tokenizers.path(VOCABULARY)
     width = width_of(path, end)
-    # Encoded once and written in order; the totals of the shards are known before a file is begun.
-    rows = materialize(encoded(_ordered(docs, doc_id, text, shards), path=path, end=end)
-                       .withColumn("shard", F.spark_partition_id()))
-    totals = rows.groupBy("shard").agg(F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    bases = {r["shard"]: r["base"] for r in totals.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base")).collect()}
-    shared = spark.sparkContext.broadcast(bases)  # one number a shard
-    schema = "shard int, base long, n_docs long, n_tokens long, width string, files string"
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(2 * spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+    # Ids, not texts, are written and moved: once encoded, they are read again to find the ranges of the shards.
+    ids = materialize(encoded(rows, path=path, end=end).withColumns({"_hash": F.xxhash64("ids"), "_any": F.monotonically_increasing_id()}))
+    order = ["doc_id", "_hash", "_any"]  # the last only spreads equal rows, whose order does not matter
+    ordered = ids.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    schema = "shard int, n_docs long, n_tokens long, width string, files string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _place(folder)
-        out = None
+        (store, root), out, at, held = _place(folder), None, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -138,42 +145,40 @@ def write(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", te
                 shard = batch.column(3)[0].as_py()
                 name = f"shard-{shard:07d}-{uuid.uuid4().hex}"
                 store.create_dir(root, recursive=True)
-                base = at = shared.value[shard]
-                ids, offsets = (store.open_output_stream(f"{root}/{name}.{kind}") for kind in ("ids", "offsets"))
-                raw = store.open_output_stream(f"{root}/{name}.names")
+                ids, offsets, raw = (store.open_output_stream(f"{root}/{name}.{kind}") for kind in ("ids", "offsets", "names"))
                 out = pa.ipc.new_file(raw, pa.schema([batch.schema.field(0)]))
-                docs_in = 0
             lengths = batch.column(1).to_numpy()
-            starts = at + np.cumsum(lengths) - lengths
-            offsets.write(starts.astype("<i8").tobytes())
+            offsets.write((at + np.cumsum(lengths) - lengths).astype("<i8").tobytes())
             for value in batch.column(2):
                 ids.write(value.as_buffer())
             out.write_batch(batch.select([0]))
-            at, docs_in = at + int(lengths.sum()), docs_in + batch.num_rows
+            at, held = at + int(lengths.sum()), held + batch.num_rows
         if out is not None:
             offsets.write(np.array([at], "<i8").tobytes())
             for stream in (out, raw, ids, offsets):
                 stream.close()
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([x], pa.int64()) for x in (base, docs_in, at - base)], pa.array([width]), pa.array([f"{folder}/{name}"])],
-                                             names=["shard", "base", "n_docs", "n_tokens", "width", "files"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([held], pa.int64()), pa.array([at], pa.int64()), pa.array([width]), pa.array([f"{folder}/{name}"])],
+                                             names=["shard", "n_docs", "n_tokens", "width", "files"])
 
-    return materialize(rows.select("doc_id", "n", "ids", "shard").mapInArrow(run, schema))
+    written = materialize(ordered.select("doc_id", "n", "ids", F.spark_partition_id().alias("shard")).mapInArrow(run, schema))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
+    return materialize(written.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))))
 
 
 class Shard:
     """One shard's files, memory-mapped where they lie on a file system of the machine."""
 
-    def __init__(self, files: str, width: str) -> None:
+    def __init__(self, files: str, width: str, base: int = 0) -> None:
         store, root = _place(files)
         local = isinstance(store, fs.LocalFileSystem)
         self.ids, self.starts = (np.memmap(f"{root}.{kind}", np.dtype(t), "r") if local else np.frombuffer(store.open_input_file(f"{root}.{kind}").read(), t)
                                  for kind, t in (("ids", width), ("offsets", "<i8")))
+        self.base = base
         self.names = pa.ipc.open_file(pa.memory_map(f"{root}.names") if local else store.open_input_file(f"{root}.names"))
-        self.base = int(self.starts[0])
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document of the shard."""
-        return self.ids[self.starts[k] - self.base:self.starts[k + 1] - self.base]
+        return self.ids[self.starts[k]:self.starts[k + 1]]
 
 
 def read(manifest: DataFrame, ids: bool = False, digest: bool = True) -> DataFrame:
@@ -189,14 +194,14 @@ def read(manifest: DataFrame, ids: bool = False, digest: bool = True) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for files, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                shard, at = Shard(files, width), 0
+            for files, width, base in zip(*(c.to_pylist() for c in batch.columns)):
+                shard, at = Shard(files, width, base), 0
                 for k in range(shard.names.num_record_batches):
                     names = shard.names.get_batch(k).column(0)
                     for low in range(0, len(names), ROWS):
                         some = names.slice(low, ROWS)
                         starts = np.array(shard.starts[at:at + len(some) + 1])
-                        columns = [some, pa.array(starts[:-1]), pa.array(np.diff(starts))]
+                        columns = [some, pa.array(shard.base + starts[:-1]), pa.array(np.diff(starts))]
                         texts = range(at, at + len(some))
                         if digest:
                             columns.append(pa.array([zlib.crc32(shard.document(i).astype("<u4").tobytes()) for i in texts], pa.int64()))
@@ -205,7 +210,7 @@ def read(manifest: DataFrame, ids: bool = False, digest: bool = True) -> DataFra
                         yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                         at += len(some)
 
-    return manifest.select("files", "width").repartitionByRange(manifest.count(), "files").mapInArrow(run, schema)  # a shard a task
+    return manifest.select("files", "width", "base").repartitionByRange(manifest.count(), "files").mapInArrow(run, schema)  # a shard a task
 
 
 def _name_field(files: str) -> T.DataType:
