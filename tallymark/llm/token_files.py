@@ -12,8 +12,10 @@ are in the manifest.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,6 +42,7 @@ ROWS = 4096
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return Tokenizer.from_file(path)
 
 
@@ -52,13 +55,13 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, width: str) -> None:
-        self.path, self.width, self.known = path, width, {}
+        self.path, self.code, self.known = path, "H" if width == "<u2" else "I", {}
 
     def _encode(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 4096):
             some = words[at:at + 4096]
             for w, e in zip(some, _tokenizer(self.path).encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, self.width).tobytes()
+                self.known[w] = array(self.code, e.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > KEPT:
@@ -118,7 +121,7 @@ def write(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", te
     """Write all documents as shards below ``folder`` and return the manifest.
 
     Null and empty texts consist of the end id. Null document ids come first, rows of one id in the
-    order of their ids' hash, repeated rows each. No documents give an empty manifest. Extra columns
+    order of their texts' hash, repeated rows each. No documents give an empty manifest. Extra columns
     are ignored, whatever they are called. ``folder`` must be one that all executors share; by default
     it is a new one beside the checkpoints. Manifest: shard, n_docs, n_tokens, width, files, base.
     """
@@ -130,10 +133,10 @@ def write(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", te
     if shards is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(2 * spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
-    # Ids, not texts, are written and moved: once encoded, they are read again to find the ranges of the shards.
-    ids = materialize(encoded(rows, path=path, end=end).withColumns({"_hash": F.xxhash64("ids"), "_any": F.monotonically_increasing_id()}))
+    # The texts are moved once, and each task encodes and writes its shard in one pass over them.
     order = ["doc_id", "_hash", "_any"]  # the last only spreads equal rows, whose order does not matter
-    ordered = ids.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    keyed = rows.withColumns({"_hash": F.xxhash64("text"), "_any": F.monotonically_increasing_id()})
+    ordered = encoded(keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order), path=path, end=end)
     schema = "shard int, n_docs long, n_tokens long, width string, files string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,8 @@ PER_CLASS = 2500
 #: Words and beginnings the field may weigh, and how much commoner in toxic documents they must be.
 FEATURES, LIFT, LEAST = 6000, 8.0, 4
 BEGINNINGS = (3, 4, 5, 6, 7)
+#: What a filter is to catch of toxic documents and leave of others, as far as both can be had.
+RECALL, CLEAN = 0.95, 0.9
 SEGMENT = 128
 _EDGE = ".,;:!?\"'()[]{}<>«»“”„…*_-"
 _TOKEN = re.compile(r"\S+")
@@ -52,6 +54,7 @@ class Field:
     move: tuple[tuple[float, float], tuple[float, float]] = ((0.0, 0.0), (0.0, 0.0))
     calibration: tuple[float, ...] = (0.0, 0.0, 0.0)
     intercept: float = -3.0
+    cut: float = 0.5  # the score from which a filter drops a document
 
     def evidence(self, token: str) -> float | None:
         """What a token's own features add to the toxic state; None if it has none."""
@@ -254,11 +257,24 @@ def _posterior(emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> tuple[n
     return joint[:, 1] / joint.sum(1), both
 
 
+def best_cut(scores: np.ndarray, toxic: np.ndarray, recall: float = RECALL, clean: float = CLEAN) -> float:
+    """The largest score at which at least ``recall`` of the toxic documents lie at or above it, if it leaves
+    at least the share ``clean`` of the others below; else the score at which both shares add up to most."""
+    cuts = np.unique(scores)
+    caught = np.array([(scores[toxic] >= c).mean() for c in cuts])
+    kept = np.array([(scores[~toxic] < c).mean() for c in cuts])
+    good = np.flatnonzero((caught >= recall) & (kept >= clean))
+    at = good[-1] if len(good) else np.flatnonzero(caught + kept == (caught + kept).max())[-1]
+    below = cuts[at - 1] if at else 0.0
+    return float(min(0.5, (cuts[at] + below) / 2))  # halfway to the next smaller score
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_class: int = PER_CLASS) -> Field:
     """Fit on at most ``per_class`` labelled documents of each class, the same ones on every run.
 
     Of several labels of one id the largest counts; null labels and ids do not. Four of five sampled
-    documents teach the field, the fifth calibrates the score with the classes' true weights. With
+    documents teach the field, the fifth calibrates the score with the classes' true weights and chooses
+    ``cut``, the score for filters that are to catch ``RECALL`` of the toxic documents (0.5 at most). With
     no toxic or no other example, the model gives every document the smoothed share of toxic ones.
     """
     marked = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg((F.max(toxic) > 0).cast("int").alias("_toxic"))
@@ -287,6 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         w = np.array([share[v] for v in y])
         beta = logistic(np.array(x), y, w / w.mean())
         model.calibration, model.intercept = tuple(beta[:-1].tolist()), float(beta[-1])
+        model.cut = best_cut(np.array([tagger.score(m) for m in x]), y > 0)
     return model
 
 
