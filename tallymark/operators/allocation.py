@@ -9,14 +9,17 @@ needed only for chains that hop between resources. No consumer or resource is ga
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.functions.money import CENTS
 from tallymark.functions.text import normalize_identifier
-from tallymark.operators.ordering import SLICE, first_per_key, running_last, running_totals, slice_ordered
+from tallymark.operators.ordering import SLICE, running_last, running_totals, slice_ordered
 from tallymark.session import materialize
 
 QUANTITIES = "decimal(28,4)"
@@ -130,28 +133,115 @@ def resolve_reversals(payments: DataFrame) -> DataFrame:
     return resolved.unionByName(missing).join(facts, "reversal_id")
 
 
+#: Links that one task settles in a row.
+TAIL = 500_000
+
+
 def single_use_picks(edges: DataFrame, consumer: str = "consumer", seq: str = "seq", resource: str = "resource",
-                     order: Sequence[str] = ("rank", "resource")) -> DataFrame:
-    """Each consumer, in ``seq`` order, picks its best resource nobody earlier picked.
+                     order: Sequence[str] = ("rank", "resource"), tail: int = TAIL) -> DataFrame:
+    """Each consumer, in ``seq`` order, picks its best resource nobody earlier picked."""
+    links = edges.select(F.col(consumer).alias("consumer"), F.col(seq).alias("seq"), F.col(resource).alias("resource"), F.struct(*order).alias("place"),
+                         F.lit(1).cast(CENTS).alias("need"), F.lit(1).cast(CENTS).alias("covers"))
+    taken = _settle(links, F.lit(0).cast(CENTS), tail, single=True)
+    return taken.select(F.col("consumer").alias(consumer), F.col("seq").alias(seq), F.col("resource").alias(resource))
+
+
+def whole_takes(edges: DataFrame, tolerance: Column, order: Sequence[str] = ("rank", "resource"), tail: int = TAIL) -> DataFrame:
+    """Each consumer, in ``seq`` order, takes whole free resources in ``order`` while more than ``tolerance`` of
+    its ``need`` is not yet covered; a resource serves one consumer. ``edges``: consumer, seq, resource, need, covers."""
+    links = edges.select("consumer", "seq", "resource", F.struct(*order).alias("place"), F.col("need").cast(CENTS).alias("need"), F.col("covers").cast(CENTS).alias("covers"))
+    return _settle(links, tolerance.cast(CENTS), tail, single=False)
+
 
-    The first guess gives the k-th consumer of a shared favourite its k-th choice, which is already
-    the answer for consumers with equal lists; rounds then settle the rest.
+def _settle(links: DataFrame, tolerance: Column, tail: int, single: bool) -> DataFrame:
+    """(consumer, seq, resource, covers) of all takes.
+
+    A consumer is settled once it is the first of all that are left on every resource it would take: nobody
+    before it can want them. It leaves with all its links, and what it takes leaves with all of theirs, so a
+    round reads only what is still undecided. When no more than ``tail`` links are left, one task goes
+    through them in order; when rounds stop shrinking them (consumers with equal lists, one settled a
+    round), the rest is found as a fixed point.
     """
-    mine = Window.partitionBy(consumer).orderBy(*order)
-    ranked = materialize(edges.withColumn("choice", F.row_number().over(mine)))
-    best = ranked.where("choice = 1").select(F.col(resource).alias("favourite"), seq, consumer)
-    turn = running_totals(slice_ordered(best, ["favourite"], [seq]), ["favourite"], [seq], {"turn": F.lit(1).cast("long")})
-    guess = turn.select(consumer, (F.col("turn") + 1).alias("choice"))
-    picks = materialize(ranked.join(guess, [consumer, "choice"], "left_semi").select(consumer, seq, resource))
+    left, done = materialize(links.distinct()), []
+    count = left.count()
+    while count > tail:
+        first = left.groupBy("resource").agg(F.min(F.struct("seq", "consumer")).alias("first"))
+        wanted = _wanted(left, tolerance, single)
+        judged = wanted.join(first, "resource").groupBy("consumer").agg(F.min((F.col("first.consumer") == F.col("consumer")).cast("int")).alias("alone"))
+        settled = judged.where("alone = 1").select("consumer")
+        if not single:  # nothing to cover: the consumer takes nothing
+            settled = settled.unionByName(left.where(F.col("need") <= tolerance).select("consumer").distinct())
+        settled = materialize(settled.distinct())
+        taken = materialize(wanted.join(settled, "consumer", "left_semi").select("consumer", "seq", "resource", "covers"))
+        left = materialize(left.join(settled, "consumer", "left_anti").join(taken.select("resource"), "resource", "left_anti"))
+        done.append(taken)
+        before, count = count, left.count()
+        if count > tail and count > 0.9 * before:
+            done.append(_fixed_point(left, tolerance, single))
+            count = 0
+    if count:
+        done.append(_in_a_row(left, tolerance, single))
+    if not done:
+        return left.select("consumer", "seq", "resource", "covers")
+    return materialize(reduce(DataFrame.unionByName, done))
+
+
+def _wanted(left: DataFrame, tolerance: Column, single: bool) -> DataFrame:
+    """Links a consumer would take if all their resources were free."""
+    if single:
+        best = left.groupBy("consumer").agg(F.min(F.struct("place", "resource", "seq", "covers")).alias("b"))
+        return best.select("consumer", "b.seq", "b.resource", "b.covers")
+    placed = running_totals(slice_ordered(left, ["consumer"], ["place"]), ["consumer"], ["place"], {"before": F.col("covers")})
+    return placed.where(F.greatest(F.lit(0), F.col("need") - F.col("before")) > tolerance).select("consumer", "seq", "resource", "covers")
+
+
+def _in_a_row(left: DataFrame, tolerance: Column, single: bool) -> DataFrame:
+    """Takes of a bounded number of links, in order, by one task that holds the resources taken so far."""
+    fields = {f.name: f for f in left.schema.fields}
+    schema = T.StructType([fields[c] for c in ("consumer", "seq", "resource", "covers")])
+    ordered = left.withColumn("tolerance", tolerance).repartition(1).sortWithinPartitions("seq", "consumer", "place").select("consumer", "seq", "resource", "covers", "need", "tolerance")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used: set = set()
+        mine, before = None, 0
+        for batch in batches:
+            taken = []
+            for i, (who, _, what, covers, need, least) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                if who != mine:
+                    mine, before = who, 0
+                if what in used:
+                    continue
+                if max(0, need - before) > least:
+                    used.add(what)
+                    taken.append(i)
+                before += covers
+            yield batch.select([0, 1, 2, 3]).take(pa.array(taken, pa.int64()))
+
+    return ordered.mapInArrow(run, schema)
+
+
+def _fixed_point(left: DataFrame, tolerance: Column, single: bool) -> DataFrame:
+    """Rounds that recompute every take from the takes of the round before, until nothing changes.
+
+    For single picks the first guess gives the k-th consumer of a shared favourite its k-th choice, which
+    is already the answer for consumers with equal lists.
+    """
+    numbered = running_totals(slice_ordered(left, ["consumer"], ["place"]), ["consumer"], ["place"], {"choice": F.lit(1).cast("long")})
+    state = numbered.withColumn("taken", F.lit(False))
+    if single:
+        best = numbered.where("choice = 0").select(F.col("resource").alias("favourite"), "seq", "consumer")
+        turn = running_totals(slice_ordered(best, ["favourite"], ["seq", "consumer"]), ["favourite"], ["seq", "consumer"], {"turn": F.lit(1).cast("long")})
+        state = numbered.join(turn.select("consumer", "turn"), "consumer").withColumn("taken", F.col("choice") == F.col("turn")).drop("turn")
+    state = materialize(state.drop("choice"))
     while True:
-        takers = picks.groupBy(resource).agg(F.min(seq).alias("taken_at"))
-        free = ranked.join(takers, resource, "left").where(F.col("taken_at").isNull() | (F.col("taken_at") >= F.col(seq)))
-        # A consumer's own list is short; the pick itself is a map-side minimum.
-        new = materialize(first_per_key(free, [consumer], ["choice"], [seq, resource]).select(consumer, seq, resource))
-        same = new.join(picks, [consumer, resource], "left_anti").isEmpty() and picks.join(new, [consumer, resource], "left_anti").isEmpty()
-        if same:
-            return new
-        picks = new
+        takers = state.where("taken").groupBy("resource").agg(F.min("seq").alias("taken_at"))
+        free = state.join(takers, "resource", "left").withColumn("free", F.col("taken_at").isNull() | (F.col("taken_at") >= F.col("seq"))).drop("taken_at", SLICE)
+        placed = running_totals(slice_ordered(free, ["consumer"], ["place"]), ["consumer"], ["place"], {"before": F.when(F.col("free"), F.col("covers")).otherwise(F.lit(0).cast(CENTS))})
+        new = F.col("free") & (F.greatest(F.lit(0), F.col("need") - F.col("before")) > tolerance)
+        state = materialize(placed.withColumn("_old", F.col("taken")).withColumn("taken", new).drop("before", "free"))
+        if state.where("taken <> _old").isEmpty():
+            return state.where("taken").select("consumer", "seq", "resource", "covers")
+        state = state.drop("_old")
 
 
 def drain(edges: DataFrame, dims: Sequence[str], order: Sequence[Column | str], gate_tolerance: Column | None = None,

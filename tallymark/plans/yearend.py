@@ -8,13 +8,13 @@ from datetime import date
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.money import CENTS
 from tallymark.functions.text import normalize_identifier
 from tallymark.operators import checks, filters
-from tallymark.operators.allocation import single_use_picks
+from tallymark.operators.allocation import single_use_picks, whole_takes
 from tallymark.operators.ordering import first_per_key, global_position
 from tallymark.plans.base import outcome_counter, parameter_map, review_reasons
 from tallymark.session import materialize
@@ -143,19 +143,8 @@ class YearEndCutoff:
     @staticmethod
     def closing_coverage(edges: DataFrame, params: CutoffParameters) -> DataFrame:
         """Closing records consumed whole: an invoice takes records in (rank, id) order while more than
-        the tolerance is uncovered; a record taken by an earlier invoice is gone. Solved by rounds."""
-        tolerance = F.lit(params.amount_tolerance)
-        mine = Window.partitionBy("consumer").orderBy("rank", "resource").rowsBetween(Window.unboundedPreceding, -1)
-        state = materialize(edges.withColumn("taken", F.lit(False)))
-        while True:
-            takers = state.where("taken").groupBy("resource").agg(F.min("seq").alias("taken_at"))
-            joined = state.join(takers, "resource", "left").withColumn("free", F.col("taken_at").isNull() | (F.col("taken_at") >= F.col("seq")))
-            before = F.coalesce(F.sum(F.when(F.col("free"), F.col("covers"))).over(mine), F.lit(0))
-            new = F.col("free") & (F.greatest(F.lit(0), F.col("net_amount") - before) > tolerance)
-            state = materialize(joined.withColumn("_old", F.col("taken")).withColumn("taken", new).drop("taken_at", "free"))
-            if state.where("taken <> _old").isEmpty():
-                return state.where("taken").drop("_old", "taken")
-            state = state.drop("_old")
+        the tolerance is uncovered; a record taken by an earlier invoice is gone."""
+        return whole_takes(edges.withColumnRenamed("net_amount", "need"), F.lit(params.amount_tolerance))
 
     def judge(self, rows: DataFrame, params: CutoffParameters, start, tolerance) -> DataFrame:  # noqa: ANN001
         c = F.col

@@ -353,49 +353,122 @@ def match_tables(t):
     cust = F.col("o_custkey").cast("string").alias("vendor_id")
     money = lambda c: [c.alias("net_amount"), vat(c).alias("vat_amount"), (c + vat(c)).cast(CENTS).alias("gross_amount")]
     base = t.orders
+    # A quarter of a customer's orders share one blanket reference, so invoices compete for orders and receipts.
+    agreed = F.when(o % 4 == 3, F.concat(F.lit("BL-"), "o_custkey")).otherwise(F.concat(F.lit("PO-"), no))
     share = F.when(o % 7 == 0, net * F.lit(Decimal("0.95"))).otherwise(net).cast(CENTS)
     credit = F.when(o % 60 == 20, net).otherwise(net * F.lit(Decimal("0.5"))).cast(CENTS)
     lines = t.lineitem.groupBy("l_orderkey", "l_returnflag").agg(F.to_date(F.max("l_shipdate")).alias("receipt_date"), F.sum(F.col("l_extendedprice").cast(CENTS)).cast(CENTS).alias("net"), F.count(F.lit(1)).alias("n")).join(
-        base.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+        base.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", agreed.alias("agreed")), "l_orderkey")
     flag, key = F.col("l_returnflag"), F.col("l_orderkey").cast("string")
-    receipt = lambda df, record, reference, day, amount, invoice, order, status: df.select(
+    receipt = lambda df, record, reference, day, amount, invoice, order, status, variance, again: df.select(
         record.alias("record_id"), reference.alias("receipt_reference"), cust, day.alias("receipt_date"), *money(amount), invoice.alias("invoice_reference"), order.alias("purchase_order_reference"), none("decimal(18,4)").alias("quantity"),
-        F.lit("goods").alias("classification"), status.alias("status"), F.lit(0).cast(CENTS).alias("approved_price_variance"), F.lit(False).alias("reusable"), record.alias("evidence_id"))
+        F.lit("goods").alias("classification"), status.alias("status"), variance.cast(CENTS).alias("approved_price_variance"), again.alias("reusable"), record.alias("evidence_id"))
     g = F.concat_ws("-", F.concat(F.lit("G"), key), flag)
-    receipts = receipt(lines, g, g, F.col("receipt_date"), F.col("net"), F.when(flag != "N", F.concat(F.lit("INV-"), key)), F.when(flag != "A", F.concat(F.lit("PO-"), key)), F.when(flag == "R", "returned").otherwise("accepted"))
+    receipts = receipt(lines, g, g, F.col("receipt_date"), F.col("net"), F.when(flag != "N", F.concat(F.lit("INV-"), key)), F.when(flag != "A", F.col("agreed")), F.when(flag == "R", "returned").otherwise("accepted"),
+                       F.when(F.col("l_orderkey") % 11 == 0, 1).otherwise(0), (flag == "N") & (F.col("l_orderkey") % 13 == 0))
     loose = base.where(o % 15 == 0)
     f = F.concat(F.lit("F"), no)
-    receipts = receipts.unionByName(receipt(loose, f, f, F.to_date("o_orderdate"), net, none("string"), none("string"), F.lit("accepted")))
+    receipts = receipts.unionByName(receipt(loose, f, f, F.to_date("o_orderdate"), net, none("string"), none("string"), F.lit("accepted"), F.lit(0), F.lit(False)))
+    copies = base.withColumn("again", F.explode(F.when(o % 50 == 10, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     return {
-        "invoices": base.select(F.concat(F.lit("I"), no).alias("record_id"), F.concat(F.lit("INV-"), no).alias("invoice_reference"), cust, F.to_date("o_orderdate").alias("invoice_date"), *money(net),
-                                F.when(F.col("o_orderpriority") == "5-LOW", "service").when(F.col("o_orderpriority") == "1-URGENT", "unknown").otherwise("goods").alias("classification"), F.concat(F.lit("PO-"), no).alias("purchase_order_reference"),
+        "invoices": copies.select(F.concat(F.lit("I"), no, F.when(F.col("again") == 1, "b").otherwise("")).alias("record_id"), F.concat(F.lit("INV-"), no).alias("invoice_reference"), cust, F.date_add(F.to_date("o_orderdate"), F.col("again")).alias("invoice_date"), *money(net),
+                                F.when(F.col("o_orderpriority") == "5-LOW", "service").when(F.col("o_orderpriority") == "1-URGENT", "unknown").otherwise("goods").alias("classification"), agreed.alias("purchase_order_reference"),
                                 none("string").alias("goods_receipt_reference"), none("decimal(18,4)").alias("quantity"), (o % 90 == 0).alias("cancelled"), F.concat(F.lit("I"), no).alias("evidence_id")),
-        "orders": base.select(F.concat(F.lit("P"), no).alias("record_id"), F.concat(F.lit("PO-"), no).alias("order_reference"), cust, F.to_date("o_orderdate").alias("order_date"), *money(share), none("string").alias("invoice_reference"), none("string").alias("receipt_reference"),
-                              none("decimal(18,4)").alias("quantity"), F.lit(0).cast(CENTS).alias("approved_price_variance"), F.lit(False).alias("reusable"), F.lit(False).alias("cancelled"), F.concat(F.lit("P"), no).alias("evidence_id")),
+        "orders": base.select(F.concat(F.lit("P"), no).alias("record_id"), agreed.alias("order_reference"), cust, F.to_date("o_orderdate").alias("order_date"), *money(share), none("string").alias("invoice_reference"), none("string").alias("receipt_reference"),
+                              none("decimal(18,4)").alias("quantity"), F.when(o % 9 == 0, 2).otherwise(0).cast(CENTS).alias("approved_price_variance"), F.lit(False).alias("reusable"), F.lit(False).alias("cancelled"), F.concat(F.lit("P"), no).alias("evidence_id")),
         "receipts": receipts,
         "adjustments": base.where(o % 20 == 0).select(F.concat(F.lit("A"), no).alias("record_id"), F.when(o % 60 == 20, "cancellation").when(o % 60 == 40, "return").otherwise("credit_note").alias("kind"), cust, F.to_date("o_orderdate").alias("effective_date"), *money(credit),
                                                      F.concat(F.lit("INV-"), no).alias("invoice_reference"), none("string").alias("purchase_order_reference"), none("string").alias("goods_receipt_reference"), none("decimal(18,4)").alias("quantity"), F.concat(F.lit("A"), no).alias("evidence_id")),
     }
 
 
+_MATCH_ROWS = """base AS (
+      SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS vendor, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(18,2)) AS net, o_orderpriority AS priority,
+             CASE WHEN o_orderkey % 4 = 3 THEN 'BL-' || o_custkey ELSE 'PO-' || o_orderkey END AS po FROM orders),
+    inv AS (
+      SELECT 'I' || k || CASE WHEN again = 1 THEN 'b' ELSE '' END AS id, k, vendor, day + CAST(again AS INTEGER) AS day, po, net AS a_n, CAST(net * 0.19 AS DECIMAL(18,2)) AS a_v, CAST(net + CAST(net * 0.19 AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS a_g, again = 1 AS duplicate,
+             CASE priority WHEN '5-LOW' THEN 'service' WHEN '1-URGENT' THEN 'unknown' ELSE 'goods' END AS class, k % 90 = 0 AS cancelled FROM base, unnest(range(CASE WHEN k % 50 = 10 THEN 2 ELSE 1 END)) AS u(again)),
+    lines AS (SELECT l_orderkey AS k, l_returnflag AS flag, CAST(max(l_shipdate) AS DATE) AS day, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS net FROM lineitem GROUP BY ALL),
+    rec0 AS (
+      SELECT 'G' || k || '-' || flag AS r, k, vendor, lines.day, lines.net, CASE WHEN flag <> 'N' THEN k END AS names, CASE WHEN flag <> 'A' THEN po END AS po, flag <> 'R' AS ok, CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END AS variance, flag = 'N' AND k % 13 = 0 AS again
+      FROM lines JOIN base USING (k)
+      UNION ALL SELECT 'F' || k, k, vendor, day, net, NULL, NULL, TRUE, 0, FALSE FROM base WHERE k % 15 = 0),
+    rec AS (SELECT *, net AS h_n, CAST(net * 0.19 AS DECIMAL(18,2)) AS h_v, CAST(net + CAST(net * 0.19 AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS h_g FROM rec0)"""
+# Without credits the whole invoice is open.
+_OPEN = "target AS (SELECT *, a_n AS t_n, a_v AS t_v, a_g AS t_g FROM inv)"
+_CREDITED = """adj AS (
+      SELECT k, k % 60 = 20 AS undoes, c AS c_n, CAST(c * 0.19 AS DECIMAL(18,2)) AS c_v, CAST(c + CAST(c * 0.19 AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS c_g FROM (SELECT k, CAST(CASE WHEN k % 60 = 20 THEN net ELSE net * 0.5 END AS DECIMAL(18,2)) AS c FROM base WHERE k % 20 = 0)),
+    cred AS (
+      SELECT inv.*, coalesce(undoes, FALSE) AS undoes, """ + ", ".join(f"CASE WHEN c_{d} IS NULL THEN 0 ELSE greatest(0, least(a_{d}, c_{d} - coalesce(sum(a_{d}) OVER earlier, 0))) END AS u_{d}" for d in "nvg") + """
+      FROM inv LEFT JOIN adj USING (k) WINDOW earlier AS (PARTITION BY k ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    target AS (
+      SELECT *, CAST(u_n > 0 OR u_v > 0 OR u_g > 0 AS INTEGER) AS adjustments, """ + ", ".join(f"CAST(CASE WHEN gone THEN 0 ELSE greatest(0, a_{d} - u_{d}) END AS DECIMAL(18,2)) AS t_{d}" for d in "nvg") + """
+      FROM (SELECT *, cancelled OR (undoes AND (u_n > 0 OR u_v > 0 OR u_g > 0) AND u_g + 0.01 >= a_g) AS gone FROM cred))"""
+_CAND = "STRUCT(tier BIGINT, days BIGINT, gap DECIMAL(18,2), r VARCHAR, h_n DECIMAL(18,2), h_v DECIMAL(18,2), h_g DECIMAL(18,2), again BOOLEAN, w_n DECIMAL(18,2), w_v DECIMAL(18,2), w_g DECIMAL(18,2), met BOOLEAN, took STRUCT(r VARCHAR, tier BIGINT, n DECIMAL(18,2), v DECIMAL(18,2), g DECIMAL(18,2))[])"
+_USE = "(NOT (a.met AND a.w_n <= 0.01) AND (c.tier <> 4 OR c.gap <= 0.01) AND (c.again OR c.h_n > 0.01) AND NOT (least(a.w_n, c.h_n) = 0 AND t_n <> 0))"
+_TAKE = lambda d: f"CAST(CASE WHEN {_USE} THEN least(a.w_{d}, c.h_{d}) ELSE 0 END AS DECIMAL(18,2))"
+# One recursion per vendor: invoices by id, each going through its receipts with what earlier ones have left.
+_SERVED = f"""cand AS (
+      SELECT i.vendor, i.id, min(CASE WHEN x.names = i.k THEN 1 WHEN x.names IS NULL AND x.po = i.po THEN 2 ELSE 4 END) AS tier, x.r, abs(date_diff('day', i.day, x.day)) AS days FROM inv i JOIN rec x ON x.vendor = i.vendor AND x.ok
+      AND (x.names = i.k OR (x.names IS NULL AND x.po = i.po) OR (x.names IS NULL AND x.po IS NULL AND abs(date_diff('day', i.day, x.day)) <= 7)) GROUP BY ALL),
+    queue AS (SELECT vendor, id, t_n, t_v, t_g, a_n, row_number() OVER (PARTITION BY vendor ORDER BY id) AS n, (SELECT list({{'tier': tier, 'days': days, 'r': r}}) FROM cand c WHERE c.id = target.id) AS cands FROM target),
+    served AS (
+      SELECT vendor, 0::BIGINT AS n, NULL::VARCHAR AS id, list({{'r': r, 'n': h_n, 'v': h_v, 'g': h_g, 'again': again}}) AS pool, []::STRUCT(r VARCHAR, tier BIGINT, n DECIMAL(18,2), v DECIMAL(18,2), g DECIMAL(18,2))[] AS took FROM rec WHERE ok GROUP BY vendor
+      UNION ALL
+      SELECT vendor, n, id, list_transform(pool, lambda p: CASE WHEN p.again OR len(list_filter(took, lambda x: x.r = p.r)) = 0 THEN p ELSE {{'r': p.r, {", ".join(f"'{d}': CAST(p.{d} - list_filter(took, lambda x: x.r = p.r)[1].{d} AS DECIMAL(18,2))" for d in "nvg")}, 'again': p.again}} END), took FROM (
+        SELECT vendor, n, id, pool, list_reduce(list_prepend(CAST({{'tier': 0, 'days': 0, 'gap': 0, 'r': '', 'h_n': 0, 'h_v': 0, 'h_g': 0, 'again': FALSE, 'w_n': t_n, 'w_v': t_v, 'w_g': t_g, 'met': FALSE, 'took': []}} AS {_CAND}), lined),
+          lambda a, c: CAST({{'tier': 0, 'days': 0, 'gap': 0, 'r': '', 'h_n': 0, 'h_v': 0, 'h_g': 0, 'again': FALSE, {", ".join(f"'w_{d}': a.w_{d} - {_TAKE(d)}" for d in "nvg")}, 'met': a.met OR {_USE},
+            'took': CASE WHEN {_USE} THEN list_append(a.took, {{'r': c.r, 'tier': c.tier, {", ".join(f"'{d}': {_TAKE(d)}" for d in "nvg")}}}) ELSE a.took END}} AS {_CAND})).took AS took FROM (
+          SELECT q.*, s.pool, list_sort(list_transform(coalesce(cands, []), lambda x: CAST({{'tier': x.tier, 'days': x.days, 'gap': abs(a_n - list_filter(pool, lambda p: p.r = x.r)[1].n), 'r': x.r,
+            {", ".join(f"'h_{d}': list_filter(pool, lambda p: p.r = x.r)[1].{d}" for d in "nvg")}, 'again': list_filter(pool, lambda p: p.r = x.r)[1].again, 'w_n': 0, 'w_v': 0, 'w_g': 0, 'met': FALSE, 'took': []}} AS {_CAND}))) AS lined
+          FROM served s JOIN queue q ON q.vendor = s.vendor AND q.n = s.n + 1))),
+    used AS (SELECT id AS consumer, t.r AS resource, CAST(t.tier AS INTEGER) AS tier, t.n AS take_net, t.v AS take_vat, t.g AS take_gross FROM (SELECT id, unnest(took) AS t FROM served))"""
+_LEFT = "left_over AS (SELECT rec.r AS subject, CAST(h_n - coalesce(sum(take_net) FILTER (WHERE NOT again), 0) AS DECIMAL(18,2)) AS rest FROM rec LEFT JOIN used ON resource = rec.r WHERE ok GROUP BY rec.r, h_n)"
+_LAID = f"""supply AS (
+      SELECT vendor, po, 'P' || k AS p, CASE WHEN k % 9 = 0 THEN 2 ELSE 0 END AS variance, s AS s_n, CAST(s * 0.19 AS DECIMAL(18,2)) AS s_v, CAST(s + CAST(s * 0.19 AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS s_g
+      FROM (SELECT *, CAST(CASE WHEN k % 7 = 0 THEN net * 0.95 ELSE net END AS DECIMAL(18,2)) AS s FROM base)),
+    laid AS (SELECT *, {", ".join(f"sum(s_{d}) OVER w AS e_{d}" for d in "nvg")} FROM supply WINDOW w AS (PARTITION BY vendor, po ORDER BY p)),
+    asked AS (SELECT *, {", ".join(f"sum(t_{d}) OVER w AS f_{d}" for d in "nvg")} FROM target WINDOW w AS (PARTITION BY vendor, po ORDER BY id))"""
+_TOUCH = " OR ".join(f"greatest(f_{d} - t_{d}, e_{d} - s_{d}) < least(f_{d}, e_{d})" for d in "nvg")
+_GAP = lambda left, right, tol: f"CASE WHEN {left} - {right} <= {tol} THEN 0 ELSE {left} - {right} END"
+_MATCH_SQL = f"""WITH RECURSIVE {_MATCH_ROWS}, {_CREDITED}, {_SERVED}, {_LEFT},
+    got AS (SELECT consumer AS id, count(*) AS receipts, sum(take_net) AS g_n, sum(take_vat) AS g_v, sum(take_gross) AS g_g, max(tier) AS worst, sum(variance) AS variance FROM used JOIN rec ON rec.r = resource GROUP BY 1),
+    {_LAID},
+    cover AS (
+      SELECT a.id, count(*) AS orders, {", ".join(f"sum(greatest(0, least(f_{d}, e_{d}) - greatest(f_{d} - t_{d}, e_{d} - s_{d}))) AS o_{d}" for d in "nvg")},
+             count(*) FILTER (WHERE {_TOUCH}) AS in_use, coalesce(sum(variance) FILTER (WHERE {_TOUCH}), 0) AS variance
+      FROM asked a JOIN laid l ON l.vendor = a.vendor AND l.po = a.po GROUP BY a.id),
+    rows AS (
+      SELECT t.*, coalesce(receipts, 0) AS receipts, worst, coalesce(orders, 0) AS orders, coalesce(in_use, 0) AS in_use, 0.01 + coalesce(got.variance, 0) + coalesce(cover.variance, 0) AS wide, {", ".join(f"coalesce(g_{d}, 0) AS g_{d}, coalesce(o_{d}, 0) AS o_{d}" for d in "nvg")}
+      FROM target t LEFT JOIN got ON got.id = t.id LEFT JOIN cover ON cover.id = t.id),
+    gaps AS (SELECT *, {", ".join(f"{_GAP(f't_{d}', f'g_{d}', tol)} AS x_{d}, CASE WHEN orders > 0 THEN {_GAP(f't_{d}', f'o_{d}', tol)} ELSE 0 END AS y_{d}" for d, tol in (("n", "wide"), ("v", "0.01"), ("g", "wide")))} FROM rows),
+    diffs AS (SELECT *, {", ".join(f"greatest(x_{d}, y_{d}) AS d_{d}" for d in "nvg")} FROM gaps),
+    judged AS (SELECT *, CASE WHEN duplicate THEN 'duplicate_invoice' WHEN gone OR (a_g > 0 AND d_g = 0 AND receipts = 0) THEN 'cancelled_or_reversed' WHEN class = 'unknown' THEN 'review_classification' WHEN receipts = 0 AND class = 'service' THEN 'service_without_receipt'
+      WHEN receipts = 0 THEN 'unmatched_invoice' WHEN y_n > 0 OR y_v > 0 OR y_g > 0 THEN 'over_invoiced' WHEN d_n > 0 OR d_v > 0 OR d_g > 0 THEN 'amount_difference' WHEN worst = 4 THEN 'fallback_match' ELSE 'matched' END AS finding FROM diffs)
+    SELECT id AS subject, finding, CASE WHEN finding IN ('matched', 'cancelled_or_reversed', 'service_without_receipt') THEN 'dismissed' ELSE 'review_needed' END AS status, CASE WHEN receipts = 0 THEN 'none' WHEN worst = 1 THEN 'exact' WHEN worst <= 3 THEN 'high' ELSE 'low' END AS confidence,
+      CAST(CASE WHEN finding = 'duplicate_invoice' THEN t_g ELSE d_n END AS DECIMAL(18,2)) AS exposure, {", ".join(f"CAST(g_{d} AS DECIMAL(18,2)) AS matched_{n}, CAST(d_{d} AS DECIMAL(18,2)) AS {n}_difference" for d, n in (("n", "net"), ("v", "vat"), ("g", "gross")))},
+      CAST(receipts + in_use + adjustments AS BIGINT) AS matched_records FROM judged
+    UNION ALL SELECT subject, 'unmatched_receipt', 'review_needed', 'none', rest, 0, rest, 0, 0, 0, 0, 0 FROM left_over WHERE rest > 0.01"""
+
+
 def _frames(t, *names):
     tables = match_tables(t)
     return ThreeWayMatch().prepare({n: tables[n] for n in names}, False)
 
 
-@query("ctl_10_three_way_match")
+@query("ctl_10_three_way_match", _MATCH_SQL)
 def _(t):
     out = ThreeWayMatch().evaluate(match_tables(t))
     return out.select("subject", "finding", "status", "confidence", "exposure", "matched_net", "matched_vat", "matched_gross", "net_difference", "vat_difference", "gross_difference", "matched_records")
 
 
-@query("alloc_03_receipt_consumption")
+@query("alloc_03_receipt_consumption", f"WITH RECURSIVE {_MATCH_ROWS}, {_OPEN}, {_SERVED} SELECT * FROM used")
 def _(t):
     from tallymark.plans.purchase_match import MatchParameters
     control, p = ThreeWayMatch(), MatchParameters()
     frames = _frames(t, "invoices", "receipts")
     invoices = frames["invoices"].withColumns({f"target_{d}": F.col(f"{d}_amount") for d in ("net", "vat", "gross")})
-    used = control.match_receipts(invoices, frames["receipts"], p).where("used")
+    used = control.match_receipts(invoices, frames["receipts"], p)
     return used.select("consumer", "resource", "tier", *[F.col(f"take_{d}").cast(CENTS).alias(f"take_{d}") for d in ("net", "vat", "gross")])
 
 
@@ -412,16 +485,16 @@ def _(t):
     return allocation.fifo_overlap(demand, supply, "k", "invoice", "q", "receipt", "q")
 
 
-@query("alloc_05_order_coverage", """SELECT 'I' || o_orderkey AS consumer, CAST(CASE WHEN o_orderkey % 7 = 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.95 AS DECIMAL(18,2)) ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS DECIMAL(18,2)) AS covered FROM orders""")
+@query("alloc_05_order_coverage", f"""WITH {_MATCH_ROWS}, {_OPEN}, {_LAID} SELECT a.id AS consumer, p AS resource, CAST(greatest(0, least(f_n, e_n) - greatest(f_n - t_n, e_n - s_n)) AS DECIMAL(18,2)) AS covered
+    FROM asked a JOIN laid l ON l.vendor = a.vendor AND l.po = a.po WHERE {_TOUCH}""")
 def _(t):
     control = ThreeWayMatch()
     frames = _frames(t, "invoices", "orders")
     invoices = frames["invoices"].withColumns({f"target_{d}": F.col(f"{d}_amount") for d in ("net", "vat", "gross")})
-    return control.cover_orders(invoices, frames["orders"]).where("used").select("consumer", F.col("take_net").cast(CENTS).alias("covered"))
+    return control.cover_orders(invoices, frames["orders"]).select("consumer", "resource", F.col("take_net").cast(CENTS).alias("covered"))
 
 
-@query("alloc_06_credit_consumption", """SELECT 'I' || o_orderkey AS consumer, CASE WHEN o_orderkey % 90 = 0 OR o_orderkey % 60 = 20 THEN 0 WHEN o_orderkey % 20 = 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) - CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.5 AS DECIMAL(18,2))
-    ELSE CAST(o_totalprice AS DECIMAL(18,2)) END::DECIMAL(18,2) AS target_net, o_orderkey % 90 = 0 OR o_orderkey % 60 = 20 AS is_cancelled FROM orders""")
+@query("alloc_06_credit_consumption", f"WITH {_MATCH_ROWS}, {_CREDITED} SELECT id AS consumer, t_n AS target_net, gone AS is_cancelled FROM target")
 def _(t):
     from tallymark.plans.purchase_match import MatchParameters
     control = ThreeWayMatch()
@@ -429,7 +502,7 @@ def _(t):
     return control.credits(frames["invoices"], frames["adjustments"], MatchParameters()).select("consumer", "target_net", "is_cancelled")
 
 
-@query("alloc_07_unmatched_receipts")
+@query("alloc_07_unmatched_receipts", f"WITH RECURSIVE {_MATCH_ROWS}, {_OPEN}, {_SERVED}, {_LEFT} SELECT subject, rest AS exposure FROM left_over WHERE rest > 0.01")
 def _(t):
     from tallymark.plans.purchase_match import MatchParameters
     control, p = ThreeWayMatch(), MatchParameters()
