@@ -13,9 +13,9 @@ are in the manifest.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,8 +34,10 @@ from tallymark.session import materialize, shared_folder
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Bytes of text a shard is made for, and words a task remembers with their ids.
-SHARD_BYTES, KEPT = 256 << 20, 500_000
+SHARD_BYTES, KEPT = 256 << 20, 600_000
 _MARKS = frozenset(b".,;:!?")
+#: A mark of punctuation between an ASCII letter or digit and white space.
+_AFTER_WORD = re.compile(rb"(?<=[a-z0-9])([.,;:!?])(?=[ \t\n\v\f\r])")
 #: Documents of one batch of a reader.
 ROWS = 4096
 
@@ -55,25 +57,50 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, width: str) -> None:
-        self.path, self.code, self.known = path, "H" if width == "<u2" else "I", {}
+        self.path, self.width, self.known = path, np.dtype(width), {}
+        self.last = np.zeros(_tokenizer(path).get_vocab_size(), bool)
+        self.last[[i for token, i in _tokenizer(path).get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in _tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            some = words[at:at + 4096]
-            for w, e in zip(some, _tokenizer(self.path).encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.known[w] = array(self.code, e.ids).tobytes()
+        """Plain words go to the library as one text, since each ends with one id that closes a word."""
+        plain = [w for w in words if w.isalpha()]  # ASCII letters only
+        for at in range(0, len(plain), 4096):
+            some = plain[at:at + 4096]
+            ids = np.array(self._library([b" ".join(some).decode()])[0], np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                flat, cuts = ids.astype(self.width).tobytes(), (ends * self.width.itemsize).tolist()
+                self.known.update(zip(some, [flat[i:j] for i, j in zip([0] + cuts, cuts)]))
+        rest = [w for w in words if w not in self.known]
+        for at in range(0, len(rest), 4096):
+            some = rest[at:at + 4096]
+            for w, ids in zip(some, self._library([w.decode() for w in some])):
+                self.known[w] = np.array(ids, self.width).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > KEPT:
             self.known.clear()
-        known = self.known
-        # A special token's spelling counts as written, so texts that may hold one keep their case.
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        made = {w: _stem(w) for w in {w for some in words for w in some} if w not in known}
-        self._encode(list({part for stem, mark in made.values() for part in (stem, mark) if part and part not in known}))
+        get, out, missing, open_ = self.known.get, [], set(), []
+        for k, t in enumerate(texts):
+            # A special token's spelling counts as written, so texts that may hold one keep their case.
+            words = _AFTER_WORD.sub(rb" \1", t if b"<|" in t else t.lower()).split()
+            ids = list(map(get, words))
+            out.append(ids)
+            if None in ids:
+                gaps = [(i, words[i]) for i, x in enumerate(ids) if x is None]
+                open_.append((ids, gaps))
+                missing.update([w for _, w in gaps])
+        made = {w: _stem(w) for w in missing}
+        self._encode(list({part for stem, mark in made.values() for part in (stem, mark) if part and part not in self.known}))
         for w, (stem, mark) in made.items():
-            made[w] = known[stem] + known[mark] if mark else known[stem]
-        return [b"".join([known[w] if w in known else made[w] for w in some]) for some in words]
+            made[w] = self.known[stem] + self.known[mark] if mark else self.known[stem]
+        for ids, gaps in open_:
+            for i, w in gaps:
+                ids[i] = made[w]
+        return list(map(b"".join, out))
 
 
 def _stem(word: bytes) -> tuple[bytes, bytes]:
