@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallymark.bindings import CENTS, with_views
-from tallymark.operators.ordering import top_n
 from tallymark.queries import registry
+from tallymark.session import shared_folder
 from tallymark.sources import catalog, delimited, dossier, inventory, sinks, workbook
 
 query = registry.query
 
 
-@query("src_01_inventory")
+@query("src_01_inventory", """SELECT key, 'text' AS file_type, strlen(body) AS byte_size, sha256(body) AS sha256, 'UTF-8' AS encoding FROM (
+    SELECT CAST(o_custkey % 50 AS INTEGER) AS key, string_agg(o_orderkey || ';ü;' || o_orderpriority || chr(10), '' ORDER BY o_orderkey) AS body FROM orders GROUP BY 1)""")
 def _(t):
-    return inventory.inventory(t.spark, t.folder).select("path", "file_type", "byte_size", "sha256")
+    """A written folder, one file per key."""
+    folder = shared_folder(t.spark)
+    rows = t.orders.select((F.col("o_custkey") % 50).alias("key"), "o_orderkey", F.concat_ws(";", F.col("o_orderkey").cast("string"), F.lit("ü"), "o_orderpriority").alias("value"))
+    rows.repartition("key").sortWithinPartitions("key", "o_orderkey").select("key", "value").write.partitionBy("key").text(folder)
+    return inventory.inventory(t.spark, folder).select(F.regexp_extract("path", "key=([0-9]+)/", 1).cast("int").alias("key"), "file_type", "byte_size", "sha256", "encoding")
 
 
 @query("src_02_file_type", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'csv' WHEN 1 THEN 'text' WHEN 2 THEN 'xlsx' WHEN 3 THEN 'docx' WHEN 4 THEN 'pdf' ELSE 'unknown' END AS file_type FROM pages""")
@@ -67,7 +72,6 @@ _QUOTED = """SELECT CAST(o_orderkey AS VARCHAR) AS beleg, o_orderpriority || chr
 
 def _written(t, header: bool) -> str:
     """Delimited files of all orders with quoted line breaks and quotes, in the shared folder."""
-    from tallymark.session import shared_folder
     field = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
     text = F.concat("o_orderpriority", F.lit('\n"x"; '), "o_orderstatus")
     folder = shared_folder(t.spark)
@@ -152,13 +156,36 @@ def _(t):
     return sinks.upsert(rows.where("value < 100"), rows.where("value >= 100"), ["user_id"], "ts").select("user_id", "event_type", "ts")
 
 
-@query("snk_06_reconciliation_log", """SELECT source AS source_path, count(*) AS parsed_rows, CASE WHEN source = 'src3' THEN 2 ELSE 0 END::BIGINT AS warning_count, CASE WHEN source = 'src3' THEN 'warning' ELSE 'parsed' END AS status FROM documents GROUP BY 1""")
+@query("snk_04_replace_source", """SELECT source AS source_path, count(*) AS rows, CAST(sum(CASE WHEN source = 'src1' THEN -doc_id ELSE doc_id END) AS BIGINT) AS ids FROM documents WHERE source <> 'src1' OR doc_id % 3 = 0 GROUP BY 1""")
 def _(t):
+    """All sources are written, then one is replaced by other rows; the others stay."""
+    path = f"{shared_folder(t.spark)}/rows"
+    rows = t.documents.select(F.col("source").alias("source_path"), "doc_id")
+    sinks.replace_source(rows, path)
+    newer = rows.where("source_path = 'src1' AND doc_id % 3 = 0").withColumn("doc_id", -F.col("doc_id"))
+    sinks.replace_source(newer, path, newer.groupBy("source_path").agg(F.count(F.lit(1)).alias("source_rows")))
+    return t.spark.read.parquet(path).groupBy("source_path").agg(F.count(F.lit(1)).alias("rows"), F.sum("doc_id").alias("ids"))
+
+
+def _import_log(t):
+    """Documents as sources: texts without a word fail, very short ones are warned about, one source lost rows."""
     manifest = t.documents.select(F.col("source").alias("path"), F.lit("text").alias("file_type")).distinct()
-    found = t.documents.select(F.col("source").alias("source_path"))
-    first = top_n(t.documents.where("source = 'src3'"), ["doc_id"], 2)
-    warnings = first.select(F.col("source").alias("source_path"), F.concat(F.lit("odd row "), "doc_id").alias("message"))
-    return sinks.reconciliation_log(manifest, found, warnings).select("source_path", "parsed_rows", "warning_count", "status")
+    rows = t.documents.select(F.col("source").alias("source_path"), "doc_id", "n_chars")
+    note = lambda some, text: some.select("source_path", F.concat(F.lit(text), "doc_id").alias("message"))
+    parsed = rows.where("source_path <> 'src3' OR doc_id % 10 <> 0")
+    total = rows.groupBy("source_path").agg(F.count(F.lit(1)).alias("source_rows"))
+    return sinks.reconciliation_log(manifest, parsed, note(rows.where("n_chars < 300"), "short "), note(rows.where("n_chars < 10"), "empty "), total)
+
+
+@query("snk_06_reconciliation_log", """SELECT *, CASE WHEN error_count > 0 OR source_rows <> parsed_rows THEN 'failed' WHEN warning_count > 0 THEN 'warning' ELSE 'parsed' END AS status FROM (
+    SELECT source AS source_path, count(*) AS source_rows, count(*) FILTER (WHERE source <> 'src3' OR doc_id % 10 <> 0) AS parsed_rows, count(*) FILTER (WHERE n_chars < 300) AS warning_count, count(*) FILTER (WHERE n_chars < 10) AS error_count FROM documents GROUP BY 1)""")
+def _(t):
+    return _import_log(t).log.drop("file_type")
+
+
+@query("snk_06_import_notes", """SELECT source AS source_path, 'warning' AS kind, 'short ' || doc_id AS message FROM documents WHERE n_chars < 300 UNION ALL SELECT source, 'error', 'empty ' || doc_id FROM documents WHERE n_chars < 10""")
+def _(t):
+    return _import_log(t).notes
 
 
 @query("srt_01_tables_by_rows", """SELECT table_name, rows, row_number() OVER (ORDER BY rows DESC, ordinal) AS place FROM (SELECT 'orders' AS table_name, 0 AS ordinal, (SELECT count(*) FROM orders) AS rows UNION ALL SELECT 'lineitem', 1, (SELECT count(*) FROM lineitem) UNION ALL SELECT 'part', 2, (SELECT count(*) FROM part))""")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.identity import cell_coordinate, evidence_uuid, raw_hash, registry_id
 from tallymark.functions.roles import resolve_column, resolves_all
 from tallymark.operators.aggregates import table_summary
+from tallymark.session import materialize
 from tallymark.sources import catalog, delimited, inventory, workbook
 
 CELL_COLUMNS = ("table_name", "source_path", "source_type", "row", "sheet", "cell", "page", "column", "raw_value", "raw_value_sha256", "evidence_id", "evidence_uuid")
@@ -102,7 +103,7 @@ def _declared_tables(spark: SparkSession, root: str, encodings: Mapping[str, str
 
 def load_dossier(spark: SparkSession, root: str) -> Dossier:
     """Declared files first, then the others by type; a faulty file becomes a warning."""
-    manifest = inventory.inventory(spark, root)
+    manifest = materialize(inventory.inventory(spark, root))
     files = manifest.select("path", "file_type", "encoding").collect()  # one row per file
     encodings = {f["path"]: ("UTF-8" if f["encoding"] == "UTF-8-BOM" else f["encoding"]) for f in files}
     tables, warnings, declared = _declared_tables(spark, root, encodings)
