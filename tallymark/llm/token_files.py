@@ -36,8 +36,8 @@ END = 1
 #: Bytes of text a shard is made for, and words a task remembers with their ids.
 SHARD_BYTES, KEPT = 256 << 20, 600_000
 _MARKS = frozenset(b".,;:!?")
-#: A mark of punctuation between an ASCII letter or digit and white space.
-_AFTER_WORD = re.compile(rb"(?<=[a-z0-9])([.,;:!?])(?=[ \t\n\v\f\r])")
+#: A mark of punctuation between a letter (ASCII or Latin-1, without the signs × and ÷) or digit and white space.
+_AFTER_WORD = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,;:!?])(?=[ \t\n\v\f\r])")
 #: Documents of one batch of a reader.
 ROWS = 4096
 
@@ -65,8 +65,8 @@ class WordEncoder:
         return [e.ids for e in _tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode(self, words: list[bytes]) -> None:
-        """Plain words go to the library as one text, since each ends with one id that closes a word."""
-        plain = [w for w in words if w.isalpha()]  # ASCII letters only
+        """Words of letters go to the library as one text, since each ends with one id that closes a word."""
+        plain = [w for w in words if w.isalpha() or w.decode().isalpha()]
         for at in range(0, len(plain), 4096):
             some = plain[at:at + 4096]
             ids = np.array(self._library([b" ".join(some).decode()])[0], np.int64)

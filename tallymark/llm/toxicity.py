@@ -27,8 +27,8 @@ PER_CLASS = 2500
 #: Words and beginnings the field may weigh, and how much commoner in toxic documents they must be.
 FEATURES, LIFT, LEAST = 6000, 8.0, 4
 BEGINNINGS = (3, 4, 5, 6, 7)
-#: What a filter is to catch of toxic documents and leave of others, as far as both can be had.
-RECALL, CLEAN = 0.95, 0.9
+#: What a filter leaves of the documents that are not toxic.
+CLEAN = 0.97
 SEGMENT = 128
 _EDGE = ".,;:!?\"'()[]{}<>«»“”„…*_-"
 _TOKEN = re.compile(r"\S+")
@@ -257,16 +257,19 @@ def _posterior(emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> tuple[n
     return joint[:, 1] / joint.sum(1), both
 
 
-def best_cut(scores: np.ndarray, toxic: np.ndarray, recall: float = RECALL, clean: float = CLEAN) -> float:
-    """The largest score at which at least ``recall`` of the toxic documents lie at or above it, if it leaves
-    at least the share ``clean`` of the others below; else the score at which both shares add up to most."""
-    cuts = np.unique(scores)
-    caught = np.array([(scores[toxic] >= c).mean() for c in cuts])
+def best_cut(scores: np.ndarray, toxic: np.ndarray, clean: float = CLEAN) -> float:
+    """Of the cuts that leave at least the share ``clean`` of the other documents below them, the one that
+    most toxic documents reach, of equal ones the largest; 0.5 at most. A toxic passage in a long text
+    scores low, so a filter spends what it may on the recall."""
+    cuts = np.unique(np.append(scores, 0.5))
     kept = np.array([(scores[~toxic] < c).mean() for c in cuts])
-    good = np.flatnonzero((caught >= recall) & (kept >= clean))
-    at = good[-1] if len(good) else np.flatnonzero(caught + kept == (caught + kept).max())[-1]
+    caught = np.array([(scores[toxic] >= c).mean() for c in cuts])
+    good = np.flatnonzero(kept >= clean)
+    if not len(good):
+        return 0.5
+    at = good[np.flatnonzero(caught[good] == caught[good].max())[-1]]
     below = cuts[at - 1] if at else 0.0
-    return float(min(0.5, (cuts[at] + below) / 2))  # halfway to the next smaller score
+    return float(min(0.5, (cuts[at] + below) / 2)) if (scores[~toxic] < (cuts[at] + below) / 2).mean() >= clean else float(min(0.5, cuts[at]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_class: int = PER_CLASS) -> Field:
@@ -274,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     Of several labels of one id the largest counts; null labels and ids do not. Four of five sampled
     documents teach the field, the fifth calibrates the score with the classes' true weights and chooses
-    ``cut``, the score for filters that are to catch ``RECALL`` of the toxic documents (0.5 at most). With
+    ``cut``, the score from which a filter drops documents (``best_cut``). With
     no toxic or no other example, the model gives every document the smoothed share of toxic ones.
     """
     marked = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg((F.max(toxic) > 0).cast("int").alias("_toxic"))
