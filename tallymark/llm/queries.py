@@ -59,7 +59,7 @@ def op9_cotrain(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
-    found = lm.scores(table(spark, folder, "documents"))
+    found = lm.scores(table(spark, folder, "documents"), share=lm.TAUGHT)
     return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
