@@ -159,9 +159,9 @@ def judged(signals: DataFrame, limits: DataFrame, lang: str = "lang", source: st
     keyed = signals.withColumns({"lang_key": _group(lang), "source_key": _group(source), "base_failed": base_failed()})
     within = ~F.col("base_failed")
     for name, (top, bottom, _, _) in RULES.items():
-        within = within & (F.col(top) <= F.col(f"most_{name}") * F.col(bottom))
-    joined = keyed.join(limits, ["lang_key", "source_key"], "left")
-    return joined.withColumn("kept", F.coalesce(within, F.lit(False))).select(*signals.columns, "base_failed", "kept")
+        within = within & (F.col(top) <= F.col(f"m.most_{name}") * F.col(bottom))
+    joined = keyed.alias("d").join(limits.alias("m"), ["lang_key", "source_key"], "left")
+    return joined.select(*[F.col(f"d.`{c}`") for c in signals.columns], "base_failed", F.coalesce(within, F.lit(False)).alias("kept"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
