@@ -30,7 +30,7 @@ class AnomalyParameters:
     benford_min_sample: int = 200
     benford_max_abs_deviation: Decimal = Decimal("0.05")
     max_findings_per_signal: int | None = None
-    evidence_sample_size: int = 8
+    evidence_sample_size: int = 8  # evidence ids shown in a chain; the inputs table holds every posting
 
     def __post_init__(self) -> None:
         if self.round_multiple <= 0 or self.round_min_magnitude < 0:
@@ -121,19 +121,19 @@ class AnomalyDiscovery:
         flagged = aggregates.benford_deviations(ledger, p.benford_min_sample, p.benford_max_abs_deviation)
         summary = flagged.agg(
             F.max("population").alias("population"), F.sort_array(F.collect_list("digit")).alias("digits"),
-            F.min(F.struct("worst_rank", "digit", "deviation")).alias("worst")).where("worst is not null")
+            F.min(F.struct("worst_rank", "digit", "deviation", "n")).alias("worst")).where("worst is not null")
         summary = summary.withColumn("digit", F.col("worst.digit"))
         of_digit = ledger.withColumn("digit", first_digit(F.col("amount"))).join(F.broadcast(summary.select("digit")), "digit")
         shown = sample_per_key(of_digit, ["digit"], ["evidence_id", "amount"], "evidence_id", p.evidence_sample_size)
         sample = shown.groupBy("digit").agg(F.sort_array(F.collect_list("evidence_id")).alias("sample"))
         findings = finish(
-            summary.join(sample, "digit"), self.id, self.version, DIGITS, finding_id=F.lit("anomaly:benford-first-digit"),
+            summary.join(sample, "digit", "left"), self.id, self.version, DIGITS, finding_id=F.lit("anomaly:benford-first-digit"),
             subject=F.lit("anomaly:benford-first-digit"),
             narrative=F.concat(F.lit("digits "), F.array_join(F.col("digits").cast("array<string>"), ", "), F.lit(" deviate")),
             exposure=F.lit(0), expression=F.concat(F.lit("largest deviation "), F.col("worst.deviation").cast("string")),
-            input_count=F.size("sample"), chain=F.array(step("amounts with the worst digit", F.col("sample"))),
+            input_count=F.col("worst.n"), chain=F.array(step("amounts with the worst digit", F.coalesce("sample", F.array().cast("array<string>")))),
             counter_tests=F.array(_gate(), counter("naturally_bounded_population", "not_applicable", "population not assessed", False)),
         )
-        inputs = shown.select(F.lit("anomaly:benford-first-digit").alias("finding_id"),
+        inputs = of_digit.select(F.lit("anomaly:benford-first-digit").alias("finding_id"),
                               F.concat(F.lit("leading digit "), "digit").alias("label"), F.abs("amount").cast(CENTS).alias("value"), "evidence_id")
         return Findings(findings, inputs)

@@ -65,9 +65,9 @@ def _(t):
 _ANOMALY = f"""WITH l AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN floor(value) * 1000 ELSE value END AS v FROM events), ledger AS (SELECT event_type AS document_no, CAST(v AS DECIMAL(18,2)) AS amount FROM l),
     r AS (SELECT count(*) AS n, CAST(sum(abs(amount)) AS DECIMAL(18,2)) AS e FROM ledger WHERE abs(amount) >= 1000 AND amount % 10 = 0), d AS (SELECT document_no, amount, count(*) AS n, CAST((count(*) - 1) * abs(amount) AS DECIMAL(18,2)) AS e FROM ledger GROUP BY 1, 2 HAVING count(*) >= 2),
     b AS (SELECT CAST(substr(regexp_replace(CAST(abs(amount) AS VARCHAR), '[^1-9]', '', 'g'), 1, 1) AS INTEGER) AS digit, count(*) AS n FROM ledger WHERE amount <> 0 GROUP BY 1), x(digit, p) AS (VALUES {", ".join(f"({k}, {p})" for k, p in V.BENFORD.items())}),
-    w AS (SELECT x.digit FROM x LEFT JOIN b USING (digit) WHERE abs(coalesce(b.n, 0) / (SELECT sum(n) FROM b) - p) > 0.05)
+    w AS (SELECT * FROM (SELECT x.digit, coalesce(b.n, 0) AS n, abs(coalesce(b.n, 0) / (SELECT sum(n) FROM b) - p) AS gap FROM x LEFT JOIN b USING (digit)) WHERE gap > 0.05)
     SELECT 'anomaly:round-number-postings' AS subject, n AS input_count, e AS exposure, 'HUMAN_REVIEW' AS verdict FROM r WHERE n > 0 UNION ALL SELECT 'anomaly:duplicate-reference:' || document_no || ':' || CAST(abs(amount) AS VARCHAR), n, e, 'HUMAN_REVIEW' FROM d
-    UNION ALL SELECT 'anomaly:benford-first-digit', 8, 0, 'HUMAN_REVIEW' WHERE (SELECT count(*) FROM w) > 0"""
+    UNION ALL SELECT 'anomaly:benford-first-digit', (SELECT n FROM w ORDER BY gap DESC, digit LIMIT 1), 0, 'HUMAN_REVIEW' WHERE (SELECT count(*) FROM w) > 0"""
 
 
 def anomaly_ledger(t):
@@ -75,6 +75,14 @@ def anomaly_ledger(t):
     return t.events.select(F.col("event_type").alias("document_no"), F.col("user_id").cast("string").alias("account"), value.cast(CENTS).alias("amount"), t._event_id.alias("evidence_id"))
 
 
+@query("ctl_05_benford_inputs", _ANOMALY.split("    SELECT 'anomaly:round-number-postings' AS subject")[0].replace("gap > 0.05", "gap > 0.005") + """, worst AS (SELECT digit FROM w ORDER BY gap DESC, digit LIMIT 1)
+    SELECT CAST(abs(amount) AS DECIMAL(18,2)) AS value, count(*) AS postings FROM ledger WHERE amount <> 0 AND CAST(substr(regexp_replace(CAST(abs(amount) AS VARCHAR), '[^1-9]', '', 'g'), 1, 1) AS INTEGER) = (SELECT digit FROM worst) GROUP BY 1""")
+def _(t):
+    """Every posting of the worst digit is an input of its signal, here at a narrow limit."""
+    inputs = AnomalyDiscovery().run({"ledger": anomaly_ledger(t)}, PARAMS | {"anomaly_benford_max_abs_deviation": "0.005"}).inputs.where("finding_id = 'anomaly:benford-first-digit'")
+    return inputs.groupBy("value").agg(F.count(F.lit(1)).alias("postings"))
+
+
 @query("ctl_05_anomalies", _ANOMALY)
 def _(t):
     found = AnomalyDiscovery().run({"ledger": anomaly_ledger(t)}, PARAMS).findings
