@@ -34,10 +34,12 @@ from tallymark.session import materialize, shared_folder
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Bytes of text a shard is made for, and words a task remembers with their ids.
-SHARD_BYTES, KEPT = 256 << 20, 600_000
+SHARD_BYTES, KEPT = 256 << 20, 200_000
 _MARKS = frozenset(b".,;:!?")
 #: A mark of punctuation between a letter (ASCII or Latin-1, without the signs × and ÷) or digit and white space.
 _AFTER_WORD = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,;:!?])(?=[ \t\n\v\f\r])")
+#: Bytes of text split into words at once.
+CHUNK = 1 << 20
 #: Documents of one batch of a reader.
 ROWS = 4096
 
@@ -128,7 +130,7 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path, width)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", CHUNK):
                 ids = [i + last for i in encoder.encode(text_bytes(part.column(1)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // int(width[2:]) for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
 
